@@ -1,3 +1,6 @@
 """All core queries and their SQL."""
-QUERIES: dict = {}
-SQL: dict = {}
+
+from tracewell.plans import relational, scalar
+
+QUERIES: dict = {**scalar.QUERIES, **relational.QUERIES}
+SQL: dict = {**scalar.SQL, **relational.SQL}
