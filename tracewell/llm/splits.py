@@ -17,6 +17,13 @@ from tracewell.functions.labels import label_key, prompt_key, text_key
 from tracewell.operators.components import connected_components
 from tracewell.operators.ranking import ranked
 from tracewell.operators.records import one_per_key
+from tracewell.session import cut
+
+
+def _logged_pairs(logged: DataFrame) -> DataFrame:
+    """Distinct (prompt_id, question), materialised: else the optimiser would make the keys, which are
+    regular expressions, on every logged row before the rows are made distinct."""
+    return cut(logged.select("prompt_id", "question").distinct())
 
 
 def prompt_components(logged: DataFrame) -> DataFrame:
@@ -26,7 +33,7 @@ def prompt_components(logged: DataFrame) -> DataFrame:
     question apart from case and white space, or one is the question of the other, also through
     further values. Blank ids and questions link nothing; a blank id isn't in the result.
     """
-    seen = logged.select("prompt_id", "question").distinct().select("prompt_id", prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v"))
+    seen = _logged_pairs(logged).select("prompt_id", prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v"))
     found = connected_components(seen.select("u", "v"))
     ids = seen.select("prompt_id", F.col("u").alias("node")).where("node is not null").distinct()
     return ids.join(found, "node", "left").select("prompt_id", "node", F.coalesce("component", "node").alias("component"))
@@ -34,8 +41,7 @@ def prompt_components(logged: DataFrame) -> DataFrame:
 
 def node_components(logged: DataFrame) -> DataFrame:
     """``node``, ``component`` for every id key and question key that the log links."""
-    seen = logged.select("prompt_id", "question").distinct()
-    return connected_components(seen.select(prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v")))
+    return connected_components(_logged_pairs(logged).select(prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v")))
 
 
 def same_prompt_pairs(logged: DataFrame) -> DataFrame:
