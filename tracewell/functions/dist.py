@@ -105,7 +105,7 @@ def filter_target(target: Column, max_token_id_exclusive: int | None) -> Column:
     if max_token_id_exclusive is None:
         return F.when(target.isNotNull(), F.struct(target["token_ids"].alias("token_ids"), target["tokens"].alias("tokens"), target["weights"].alias("weights"), F.lit(0).alias("dropped")))
     zipped = F.arrays_zip(target["token_ids"].alias("i"), target["tokens"].alias("t"), target["weights"].alias("w"))
-    kept = F.filter(F.transform(zipped, lambda x: F.struct(x["0"].alias("i"), x["1"].alias("t"), x["2"].alias("w"))), lambda x: (x["i"] >= 0) & (x["i"] < max_token_id_exclusive))
+    kept = F.filter(zipped, lambda x: (x["i"] >= 0) & (x["i"] < max_token_id_exclusive))
     total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x["w"])
     made = F.transform(F.array(F.struct(kept.alias("k"), total.alias("s"))), lambda o: F.struct(
         F.transform(o["k"], lambda x: x["i"]).alias("token_ids"), F.transform(o["k"], lambda x: x["t"]).alias("tokens"), F.transform(o["k"], lambda x: x["w"] / o["s"]).alias("weights"),

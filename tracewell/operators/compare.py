@@ -84,7 +84,7 @@ def vocabulary_difference(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
     return a.select("token").subtract(b.select("token")).orderBy("token").limit(k)
 
 
-def excluded(df: DataFrame, categories: tuple[str, ...] = (), steps: tuple[str, ...] = (), positions: tuple[str, ...] = (), confidence: tuple[str, ...] = ()) -> Column:
+def excluded(categories: tuple[str, ...] = (), steps: tuple[str, ...] = (), positions: tuple[str, ...] = (), confidence: tuple[str, ...] = ()) -> Column:
     """Whether a candidate is excluded: by category, step type, position (missing counts as early) or any confidence bucket."""
     out = F.lit(False)
     if categories:

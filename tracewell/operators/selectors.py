@@ -109,8 +109,9 @@ class Rule:
 
 @dataclass(frozen=True)
 class Linear:
-    """A logistic score over the 33 features from a trained artifact."""
+    """A logistic score over the features that its artifact names."""
 
+    features: tuple[str, ...]
     weights: tuple[float, ...]
     bias: float = 0.0
     threshold: float = 0.5
@@ -120,14 +121,21 @@ class Linear:
 
     @classmethod
     def from_artifact(cls, a: dict[str, Any]) -> Linear:
-        """Names may be in any order or unknown; unknown features count zero."""
+        """Names may be in any order; unknown features count zero, and features not named play no part."""
         at = {n: i for i, n in enumerate(a["feature_names"])}
+        names = tuple(n for n in FEATURE_NAMES if n in at)
         std = a.get("standardization") or {}
-        pick = lambda v, rest: tuple(float(v[at[n]]) if n in at else rest for n in FEATURE_NAMES)
-        return cls(pick(a["weights"], 0.0), float(a.get("bias", 0.0)), float(a.get("threshold", 0.5)), pick(std["means"], 0.0) if std else None, pick(std["scales"], 1.0) if std else None, a.get("name", "learned_linear"))
+        pick = lambda v: tuple(float(v[at[n]]) for n in names)
+        bias = float(a.get("bias", 0.0))
+        for n, i in at.items():  # an unknown feature is zero before it is standardised
+            if n not in FEATURE_NAMES and std:
+                bias += a["weights"][i] * (0.0 - std["means"][i]) / std["scales"][i]
+        return cls(names, pick(a["weights"]), bias, float(a.get("threshold", 0.5)), pick(std["means"]) if std else None, pick(std["scales"]) if std else None, a.get("name", "learned_linear"))
 
     def score(self, features: Column) -> Column:
-        x = standardized(features, list(self.means), list(self.scales)) if self.means is not None else features
+        at = [FEATURE_NAMES.index(n) for n in self.features]
+        used = features if len(at) == len(FEATURE_NAMES) else F.filter(features, lambda _, i: i.isin(at))
+        x = standardized(used, list(self.means), list(self.scales)) if self.means is not None else used
         logit = F.aggregate(F.zip_with(x, F.array(*map(F.lit, self.weights)), lambda a, b: a * b), F.lit(float(self.bias)), lambda s, v: s + v)
         return F.transform(F.array(logit), lambda z: F.when(z >= 0, 1.0 / (1.0 + F.exp(-z))).otherwise(F.exp(z) / (1.0 + F.exp(z))))[0]
 

@@ -11,7 +11,7 @@ from tracewell.functions import classify, dist
 from tracewell.operators import budget, compare, features, project, report, scorer, selectors, train
 from tracewell.operators.records import finite_or_null
 from tracewell.plans.common import c_sql, candidates, distributions, evals, gold_sql, predicted_sql, samples
-from tracewell.plans.scalar import _CUT, _FEATURE_SQL, _KEPT
+from tracewell.plans.scalar import _CUT, FEATURE_ROWS, _KEPT
 from tracewell.session import table
 from tracewell.sources import jsonl, sinks
 from tracewell.streaming import ledger
@@ -274,11 +274,11 @@ def top08(s, d):
 
 
 def _stat_sql(v: str) -> str:
-    return f"count(v) as n, round(avg(v), 6) as mean, round(median(v), 6) as median, round(min(v), 6) as min, round(max(v), 6) as max from (select metric, case when isnan(v) then null else v end v from ({v})) group by metric"
+    return f"count(v) as n, round(avg(v), 6) as mean, round(median(v), 6) as median, round(min(v), 6) + 0 as min, round(max(v), 6) as max from (select metric, case when isnan(v) then null else v end v from ({v})) group by metric"
 
 
 def _rounded(df: DataFrame, *skip: str, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
 
 
 _METRICS = ("kl_expert_amateur", "expert_entropy", "amateur_entropy", "entropy_gap")
@@ -361,7 +361,7 @@ def snk08(s, d):
 
 
 @query("AGG-05_sample_summary", """with s as (select any_value(prompt_id) p, any_value(kl_divergence) k, any_value(token_ids) t from selected_samples group by sample_id), v as (select p, case when isnan(k) then null else k end k, len(t) z from s)
-  select count(*) as records, count(distinct p) as prompts, round(count(p) / count(distinct p), 6) as records_per_prompt_mean, round(avg(k), 6) as kl_mean, round(median(k), 6) as kl_median, round(min(k), 6) as kl_min, round(max(k), 6) as kl_max, cast(sum(z) as bigint) as target_tokens_total, round(avg(z), 6) as target_tokens_mean from v""")
+  select count(*) as records, count(distinct p) as prompts, round(count(p) / count(distinct p), 6) as records_per_prompt_mean, round(avg(k), 6) as kl_mean, round(median(k), 6) as kl_median, round(min(k), 6) + 0 as kl_min, round(max(k), 6) as kl_max, cast(sum(z) as bigint) as target_tokens_total, round(avg(z), 6) as target_tokens_mean from v""")
 def agg05(s, d):
     return _rounded(report.sample_summary(samples(s, d))).withColumn("target_tokens_total", F.col("target_tokens_total").cast("long"))
 
@@ -485,7 +485,7 @@ def set04(s, d):
 
 @query("SET-05_bucket_overlap", f"select candidate_id from ({_DECIDE}) where coalesce(d.entropy_gap, 0) >= 1 or not coalesce(d.top1_match, false)")
 def set05(s, d):
-    return _c(s, d).where(compare.excluded(None, confidence=("high_entropy_gap", "top1_mismatch"))).select("candidate_id")
+    return _c(s, d).where(compare.excluded(confidence=("high_entropy_gap", "top1_mismatch"))).select("candidate_id")
 
 
 @query("ML-01_weak_labels", f"select candidate_id, (r like 'selected:%')::int as by_rule, coalesce(not isnan(k) and k >= 0.4, false)::int as by_kl, coalesce(f, false)::int as by_flag from (select x.candidate_id, {_rule_sql(selectors.Rule())} r, d.kl_expert_amateur k, y.f from ({_DECIDE}) x join (select candidate_id, any_value(fixed_kl_selected) f from candidate_records group by 1) y using (candidate_id))")
@@ -508,7 +508,7 @@ def ml02b(s, d):
     return report.reasons(c.withColumn("decision", selectors.Linear.from_artifact(train.train_distributed(c, "rule")).decide(c)))
 
 
-@query("ML-03_standardised_vectors", f"with f as (select candidate_id, case when isnan(v) then 0 else v end v, i from (select candidate_id, unnest(f) v, unnest(range(33)) i from ({c_sql(f=_FEATURE_SQL)})) where i in (12, 13, 17, 25)), m as (select i, avg(v) a, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end s from f group by i) select candidate_id, cast(f.i as bigint) as i, round((v - a) / s, 6) as v from f join m on f.i = m.i")
+@query("ML-03_standardised_vectors", f"with f as (select candidate_id, case when isnan(v) then 0 else v end v, i from (select candidate_id, unnest(f) v, unnest(range(33)) i from ({FEATURE_ROWS})) where i in (12, 13, 17, 25)), m as (select i, avg(v) a, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end s from f group by i) select candidate_id, cast(f.i as bigint) as i, round((v - a) / s, 6) as v from f join m on f.i = m.i")
 def ml03(s, d):
     """Four of the 33 positions, with the moments of the whole table."""
     c = _c(s, d)

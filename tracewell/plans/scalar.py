@@ -237,13 +237,15 @@ def prj09(s, d):
 
 _D = "distribution_features"
 _FEATURE_SQL = "[" + ", ".join([f"coalesce({_D}.{n}, 0)" for n in features.NUMERIC[:-1]] + ["coalesce(normalized_position, 0)", f"coalesce({_D}.top1_match, false)::double"] + [f"(coalesce(token_features.token_category, 'other') = '{c}')::double" for c in features.TOKEN_CATEGORIES] + [f"(coalesce(step_features.step_type, 'other') = '{c}')::double" for c in features.STEP_TYPES] + ["(coalesce(normalized_position, 0) < 0.33)::double", "(coalesce(normalized_position, 0) >= 0.33 and coalesce(normalized_position, 0) < 0.66)::double", "(coalesce(normalized_position, 0) >= 0.66)::double"]) + "]"
+#: SQL with the vector ``f`` of each candidate.
+FEATURE_ROWS = f"select candidate_id, {_FEATURE_SQL} f from ({c_sql(distribution_features='distribution_features', token_features='token_features', step_features='step_features', normalized_position='normalized_position')})"
 
 
-@query("PRJ-10_feature_vectors", f"select candidate_id, i, round(v, 6) as v from (select candidate_id, unnest(f) v, unnest(range(33)) i from ({c_sql(f=_FEATURE_SQL)})) where v is not null and not isnan(v) and v <> 0")
+@query("PRJ-10_feature_vectors", f"select candidate_id, i, v from (select candidate_id, unnest(f) v, unnest(range(33)) i from ({FEATURE_ROWS})) where v is not null and not isnan(v) and v <> 0")
 def prj10(s, d):
     t = candidates(s, d, "distribution_features", "token_features", "step_features", "normalized_position")
     f = features.feature_array(F.col("distribution_features"), F.col("token_features.token_category"), F.col("step_features.step_type"), F.col("normalized_position"))
-    return t.select("candidate_id", F.posexplode(f).alias("i", "v")).where(~F.isnan("v") & (F.col("v") != 0)).select("candidate_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+    return t.select("candidate_id", F.posexplode(f).alias("i", "v")).where(~F.isnan("v") & (F.col("v") != 0)).select("candidate_id", F.col("i").cast("long").alias("i"), "v")
 
 
 @query("PRJ-11_example_summary", "select distinct eval_id, id, gold, prediction, substring(response, 1, 300) as response from eval_outputs")
