@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import capping, cutoff, mixing, overlap, percentiles, splits, target_sample, tokens, truncation
+from tracewell.llm import capping, cutoff, mixing, overlap, percentiles, splits, subjects, target_sample, tokens, truncation
 from tracewell.session import table
 
 
@@ -156,6 +156,17 @@ def p9_report(s: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mixed(sized, plan), plan)
 
 
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    """The subjects of each document."""
+    return subjects.document_subjects(table(s, d, "documents"), table(s, d, "subject_examples"))
+
+
+def p10_report(s: SparkSession, d: str) -> DataFrame:
+    """Documents per subject."""
+    docs = table(s, d, "documents")
+    return subjects.subject_report(docs, subjects.document_subjects(docs, table(s, d, "subject_examples")))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
