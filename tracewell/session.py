@@ -6,6 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows that are broadcast on purpose.
+MOST_BROADCAST = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,3 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
+    """A small result, materialised and, if it has at most ``rows`` rows, marked for broadcast.
+
+    The size is checked by counting; a larger result is joined as the planner sees fit, by a shuffle.
+    """
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
