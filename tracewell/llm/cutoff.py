@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.labels import label_key
 from tracewell.operators.ranking import block_offsets, sorted_blocks, with_offsets
 from tracewell.operators.records import finite_or_null, one_per_key
+from tracewell.session import bounded
 
 
 def scored_candidates(records: DataFrame, targets: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def cutoffs(scored: DataFrame) -> DataFrame:
     offsets = block_offsets(blocks, group)
     at = with_offsets(blocks, offsets, group).withColumn("_rank", F.col("_before") + F.col("_pos") - F.col("_first") + 1)
     found = at.where(F.col("_rank") == F.expr(_want("_total"))).select("step_type", F.col("_total").alias("m"), F.col("_rank").alias("target"), F.col("score").alias("cutoff"))
-    kept = blocks.join(F.broadcast(found.select(F.col("step_type").alias("_t"), "cutoff")), F.col("step_type") == F.col("_t")).where("score >= cutoff")
+    kept = blocks.join(bounded(found.select(F.col("step_type").alias("_t"), "cutoff")), F.col("step_type") == F.col("_t")).where("score >= cutoff")
     sizes = kept.groupBy("step_type").agg(F.count("*").alias("kept"))
     return found.join(sizes, "step_type")
 
@@ -44,10 +45,10 @@ def cutoffs(scored: DataFrame) -> DataFrame:
 def kept_candidates(scored: DataFrame) -> DataFrame:
     """``candidate_id`` at or above the cutoff of its type.
 
-    The cutoffs are one row per target (the target table is small by definition) and are broadcast.
+    The cutoffs, one row per target, are broadcast once their number is checked.
     """
     group = ["step_type"]
     blocks = sorted_blocks(scored, group, [F.col("score").desc(), F.col("candidate_id")])
     at = with_offsets(blocks, block_offsets(blocks, group), group).withColumn("_rank", F.col("_before") + F.col("_pos") - F.col("_first") + 1)
     found = at.where(F.col("_rank") == F.expr(_want("_total"))).select(F.col("step_type").alias("_t"), F.col("score").alias("_cutoff"))
-    return blocks.join(F.broadcast(found), F.col("step_type") == F.col("_t")).where("score >= _cutoff").select("candidate_id")
+    return blocks.join(bounded(found), F.col("step_type") == F.col("_t")).where("score >= _cutoff").select("candidate_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.labels import label_key
 from tracewell.llm.tokens import DEFAULT_VOCABULARY, encoded
 from tracewell.operators.ranking import ranked
-from tracewell.session import cut
+from tracewell.session import bounded, cut
 
 
 def source_sizes(documents: DataFrame, targets: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -18,7 +18,7 @@ def source_sizes(documents: DataFrame, targets: DataFrame, path: str = DEFAULT_V
     """
     t = targets.where("source is not null").select(label_key("source").alias("_k"), F.col("source").alias("_s"))
     sized = encoded(documents.withColumn("_k0", label_key("source")), "doc_id", "text", path, True, ("_k0",))
-    return cut(sized.join(F.broadcast(t), F.col("_k0") == F.col("_k"), "left").select("doc_id", F.col("_s").alias("source"), "tokens"))
+    return cut(sized.join(bounded(t), F.col("_k0") == F.col("_k"), "left").select("doc_id", F.col("_s").alias("source"), "tokens"))
 
 
 def length_counts(sized: DataFrame) -> list[tuple[str | None, int, int]]:
@@ -101,7 +101,7 @@ def mixed(sized: DataFrame, plan: dict[str, dict], seed: int = 5) -> DataFrame:
     rows = [(s, z, k) for s, p in plan.items() for z, k in p["rest"].items()]
     extra = spark.createDataFrame(rows, "source string, tokens long, k long")
     copies = spark.createDataFrame([(s, p["copies"]) for s, p in plan.items()], "source string, copies int")
-    chosen = ranked(sized.where("tokens > 0").join(F.broadcast(copies), "source"), ["source", "tokens"], [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")])
+    chosen = ranked(sized.where("tokens > 0").join(bounded(copies), "source"), ["source", "tokens"], [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")])
     r = F.col("copies") + (F.col("position") <= F.coalesce("k", F.lit(0))).cast("int")
     return chosen.join(extra, ["source", "tokens"], "left").select("doc_id", "source", "tokens", r.alias("repeats")).where("repeats > 0")
 
