@@ -26,6 +26,13 @@ def _logged_pairs(logged: DataFrame) -> DataFrame:
     return cut(logged.select("prompt_id", "question").distinct())
 
 
+def prompt_graph(logged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``prompt_id``, ``node``) of each distinct id, and (``node``, ``component``) of all linked keys."""
+    seen = _logged_pairs(logged).select("prompt_id", prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v"))
+    ids = seen.select("prompt_id", F.col("u").alias("node")).where("node is not null").distinct()
+    return ids, connected_components(seen.select("u", "v"))
+
+
 def prompt_components(logged: DataFrame) -> DataFrame:
     """``prompt_id`` (each distinct non-null value), ``node``, ``component`` from prompt_id, question.
 
@@ -33,15 +40,13 @@ def prompt_components(logged: DataFrame) -> DataFrame:
     question apart from case and white space, or one is the question of the other, also through
     further values. Blank ids and questions link nothing; a blank id isn't in the result.
     """
-    seen = _logged_pairs(logged).select("prompt_id", prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v"))
-    found = connected_components(seen.select("u", "v"))
-    ids = seen.select("prompt_id", F.col("u").alias("node")).where("node is not null").distinct()
+    ids, found = prompt_graph(logged)
     return ids.join(found, "node", "left").select("prompt_id", "node", F.coalesce("component", "node").alias("component"))
 
 
 def node_components(logged: DataFrame) -> DataFrame:
     """``node``, ``component`` for every id key and question key that the log links."""
-    return connected_components(_logged_pairs(logged).select(prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v")))
+    return prompt_graph(logged)[1]
 
 
 def same_prompt_pairs(logged: DataFrame) -> DataFrame:
@@ -172,13 +177,12 @@ def assign_splits(records: DataFrame, targets: DataFrame, seed: int = 7) -> Data
     Ties and repeated rows don't matter: order is by hash and then by component.
     """
     rows = one_per_key(records.select("candidate_id", "prompt_id", "question", "dataset"), "candidate_id")
-    ids = prompt_components(records)
-    loose = node_components(records).withColumnRenamed("node", "loose").withColumnRenamed("component", "via")
+    ids, found = prompt_graph(records)
     placed = (
-        rows.join(ids.drop("component"), "prompt_id", "left")
+        rows.join(ids, "prompt_id", "left")
         .select("candidate_id", "dataset", _row_node().alias("node"))
-        .join(loose, F.col("node") == F.col("loose"), "left")
-        .select("candidate_id", F.coalesce(F.regexp_extract(label_key("dataset"), "^(gsm8k|math)", 1), F.lit("")).alias("label"), F.coalesce("via", "node").alias("component"))
+        .join(found, "node", "left")
+        .select("candidate_id", F.coalesce(F.regexp_extract(label_key("dataset"), "^(gsm8k|math)", 1), F.lit("")).alias("label"), F.coalesce("component", "node").alias("component"))
     )
     members = placed.groupBy("component").agg(F.count("*").alias("size"), F.max("label").alias("label"))
     bundles = [(r["size"], r["label"], r["n"]) for r in members.groupBy("size", "label").agg(F.count("*").alias("n")).collect()]
