@@ -271,6 +271,17 @@ def test_subjects_of_nothing(spark):
     assert subjects.document_subjects(docs.limit(0), ex.limit(0)).count() == 0
 
 
+def test_leaf_names_sentences_without_examples(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "LEAVES", 2)
+    tails = ["slowly", "gently", "twice", "again", "daily", "evenly", "briskly", "neatly"]
+    docs = [(i, f"the chef stirs lumpy grobble frobble mush {tails[i % 8]}. the lumpy grobble frobble mush rests") for i in range(24)]
+    docs += [(100 + i, f"judge hears stale quibble over borders of meadow {'abcdefgh'[i % 8] * 3}.") for i in range(24)]
+    ex = spark.createDataFrame([(1, "law", "the court sits.")], "example_id long, subject string, text string")
+    got = set(ids(subjects.document_subjects(spark.createDataFrame(docs, "doc_id long, text string"), ex), "doc_id", "subject"))
+    assert {(i, "cooking") for i in range(24)} <= {tuple(x) for x in got}
+    assert subjects.term_names([(1, "law", 3), (2, "law", 3), (3, "law", 3), (3, "sport", 2)], {1: 6, 2: 7, 3: 5}) == {1: "law"}
+
+
 # the queries
 @pytest.fixture(scope="module")
 def duck():

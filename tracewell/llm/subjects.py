@@ -26,6 +26,8 @@ LEAVES, PASSES, DIMENSIONS = 256, 3, 2048
 LEAST_SHARE = 2e-4
 #: A leaf is named by examples if their weight is at least this and this share has the subject.
 LEAST_WEIGHT, LEAST_PURITY = 3.0, 0.6
+#: A leaf is named by terms if they tell this share of its sentences, and this share of these has the subject.
+LEAST_TOLD, LEAST_AGREED = 0.5, 0.8
 
 # Words that tell a subject by themselves, in the languages of the corpus (English,
 # Spanish, German), for wordings that the labelled examples don't cover.
@@ -87,6 +89,23 @@ def example_names(votes: list) -> dict[int, str]:
     return names
 
 
+def term_names(told: list, sizes: dict[int, int]) -> dict[int, str]:
+    """Subjects of the leaves of whose sentences the terms tell enough and agree.
+
+    ``told`` has leaf, subject and sentences whose terms tell it; ``sizes`` the sentences of each leaf.
+    """
+    by: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    for leaf, subject, n in told:
+        by[leaf][subject] += n
+    names = {}
+    for leaf, v in by.items():
+        best = max(sorted(v), key=lambda s: v[s])
+        whole = sum(v.values())
+        if v[best] >= LEAST_WEIGHT and whole >= LEAST_TOLD * sizes[leaf] and v[best] >= LEAST_AGREED * whole:
+            names[leaf] = best
+    return names
+
+
 def term_subject(words: list[str], seen: dict[str, dict[str, float]]) -> tuple[str, float] | None:
     """The subject that the terms tell and how strongly, if one clearly leads."""
     score: dict[str, float] = defaultdict(float)
@@ -118,7 +137,7 @@ def word_subjects(words: list[tuple[str, str, float]]) -> dict[str, dict[str, fl
 
 
 def sentence_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id``, ``raw``, ``n``) of all documents, and ``raw``, ``subject`` of the sentences with one.
+    """(``doc_id``, ``raw``, ``n``) of all documents, and ``raw``, ``subject``, ``weight``, ``direct`` of the sentences with one; those that only their leaf names are not direct.
 
     The clustering covers the distinct sentences of all documents and examples. The driver holds
     the names of the leaves and the words of the examples, both bounded by parameters or by the
@@ -132,7 +151,7 @@ def sentence_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFr
     shapes = cut(_shapes(counted, documents.count()))
     items = shapes.groupBy("words").agg(F.sum("n").cast("double").alias("weight"))
     if items.isEmpty():
-        return docs, documents.sparkSession.createDataFrame([], "raw string, subject string, weight int")
+        return docs, documents.sparkSession.createDataFrame([], "raw string, subject string, weight int, direct boolean")
     tf = HashingTF(numFeatures=DIMENSIONS, binary=True, inputCol="words", outputCol="tf").transform(items)
     idf = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)
     vectors = cut(Normalizer(inputCol="tfidf", outputCol="features").transform(idf).select("words", F.log1p("weight").alias("weight"), "features"))
@@ -141,26 +160,34 @@ def sentence_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFr
     votes = [tuple(r) for r in leaves.join(labelled, "raw").groupBy("leaf", "subject").agg(F.sum("w")).collect()]
     heard = labelled.select("subject", "w", F.explode(F.array_distinct(F.split("raw", " "))).alias("word")).groupBy("word", "subject").agg(F.sum("w")).collect()
     told = word_subjects([tuple(r) for r in heard])
-    names = example_names(votes)
     # examples of the very sentence: how many there are, and the share of the commonest subject
     own_votes = leaves.join(labelled, "raw").groupBy("words", "subject").agg(F.sum("w").alias("v")).groupBy("words").agg(F.sum("v").alias("votes"), F.max("v").alias("best"))
     known = leaves.join(own_votes, "words", "left").select("raw", "words", "leaf", F.coalesce("votes", F.lit(0.0)).alias("votes"), F.coalesce("best", F.lit(0.0)).alias("best"))
 
-    def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for raw, words, leaf, n, best in zip(f["raw"], f["words"], f["leaf"], f["votes"], f["best"], strict=True):
-                generic = n >= LEAST_WEIGHT and best / n < GENERIC
-                own = None if generic else term_subject(list(words), told)
-                subject = None if generic else names.get(leaf)
-                # the leaf's name is checked against the sentence itself: examples of it, or its terms
-                if subject and not (n > 0 or own and own[0] == subject):
-                    subject = None
-                weight = 2 if own and own[1] >= 2 and n == 0 else 1
-                out.append((raw, list(words), generic, subject or (own[0] if own else None), weight))
-            yield pd.DataFrame(out, columns=["raw", "words", "generic", "subject", "weight"])
-
-    named = cut(known.mapInPandas(name, "raw string, words array<string>, generic boolean, subject string, weight int"))
+            own = [term_subject(list(words), told) or (None, 0.0) for words in f["words"]]
+            yield f.assign(own=[x[0] for x in own], strength=[x[1] for x in own])
+
+    generic = (F.col("votes") >= LEAST_WEIGHT) & (F.col("best") / F.col("votes") < GENERIC)
+    heard_by = cut(known.mapInPandas(tell, "raw string, words array<string>, leaf int, votes double, best double, own string, strength double").withColumn("generic", generic))
+    items_told = heard_by.where("not generic").groupBy("leaf", "words").agg(F.first("own").alias("own"))
+    by_terms = [tuple(r) for r in items_told.groupBy("leaf", "own").agg(F.count("*")).collect()]
+    sizes: dict[int, int] = defaultdict(int)
+    for leaf, _, n in by_terms:
+        sizes[leaf] += n
+    # a leaf named by examples names their sentences; one whose own sentences agree by their terms may
+    # also name those that the examples don't know and whose terms tell nothing (see below)
+    by_examples = example_names(votes)
+    spread = {leaf: x for leaf, x in term_names([r for r in by_terms if r[1] is not None], sizes).items() if by_examples.get(leaf, x) == x}
+    rows = [(leaf, by_examples.get(leaf), spread.get(leaf)) for leaf in sorted(by_examples.keys() | spread.keys())]
+    spine = documents.sparkSession.createDataFrame(rows, "leaf int, by_examples string, spread string")
+    subject = F.when(F.col("votes") > 0, F.coalesce("by_examples", "own")).otherwise(F.col("own"))
+    named = cut(
+        heard_by.join(F.broadcast(spine), "leaf", "left").select(
+            "raw", "words", "generic", "spread", F.when(~F.col("generic"), subject).alias("subject"), F.when((F.col("strength") >= 2) & (F.col("votes") == 0) & ~F.col("generic"), 2).otherwise(1).alias("weight")
+        )
+    )
     # sentences without a subject of their own: that of the documents of one subject in which they stand;
     # documents with the same telling sentences are one company, so that a problem told a thousand times
     # counts once
@@ -169,20 +196,28 @@ def sentence_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFr
     unknown = named.where("subject is null and not generic").select("raw", "words")
     beside = docs.join(unknown, "raw").join(pure.select("doc_id", "subject", "company"), "doc_id").groupBy("words", "subject").agg(F.count_distinct("company").alias("n"))
     company = beside.groupBy("words").agg(F.max_by("subject", "n").alias("_late"), F.max("n").alias("_n"), F.sum("n").alias("_all")).where((F.col("_n") >= LEAST_COMPANY) & (F.col("_n") >= COMPANY * F.col("_all"))).select("words", "_late")
-    late = named.join(company, "words", "left").withColumn("subject", F.coalesce("subject", F.when(~F.col("generic"), F.col("_late"))))
-    return docs, late.where("subject is not null").select("raw", "subject", "weight")
+    late = cut(named.join(company, "words", "left").withColumn("subject", F.coalesce("subject", F.when(~F.col("generic"), F.col("_late")))))
+    direct = late.where("subject is not null").select("raw", "subject", "weight", F.lit(True).alias("direct"))
+    # the rest has the name of its leaf, if the mixtures of the documents that it stands in hold this subject
+    rest = late.where("subject is null and not generic and spread is not null").select("raw", "words", F.col("spread").alias("subject"))
+    mixtures = docs.join(direct, "raw").select("doc_id", "subject", "direct").distinct()
+    stands = docs.join(rest, "raw").select("doc_id", "words", "subject").distinct().join(mixtures, ["doc_id", "subject"], "left")
+    held = stands.groupBy("words").agg(F.avg(F.when(F.col("direct"), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") >= COMPANY).select("words")
+    by_leaf = rest.join(held, "words").select("raw", "subject", F.lit(1).alias("weight"), F.lit(False).alias("direct"))
+    return docs, direct.union(by_leaf)
 
 
 def document_subjects(documents: DataFrame, examples: DataFrame) -> DataFrame:
     """``doc_id``, ``subject`` for every subject that a whole problem or passage of the document is set in.
 
     A subject needs two telling sentences, or one that holds two or more discriminative terms in a
-    wording that the examples don't know. Repeated sentences of a document count once. A document
+    wording that the examples don't know; a sentence that only its leaf names counts beside another.
+    Repeated sentences of a document count once. A document
     without telling sentences, or with a null or blank text, has no subject.
     """
     docs, told = sentence_subjects(documents, examples)
-    per = docs.join(told, "raw").groupBy("doc_id", "subject").agg(F.sum("weight").alias("n"))
-    return per.where("n >= 2").select("doc_id", "subject")
+    per = docs.join(told, "raw").groupBy("doc_id", "subject").agg(F.sum("weight").alias("n"), F.max("direct").alias("direct"))
+    return per.where("n >= 2 and direct").select("doc_id", "subject")
 
 
 def subject_report(documents: DataFrame, found: DataFrame) -> DataFrame:
