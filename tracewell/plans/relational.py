@@ -510,14 +510,20 @@ def ml02b(s, d):
 
 @query("ML-03_standardised_vectors", f"with f as (select candidate_id, case when isnan(v) then 0 else v end v, i from (select candidate_id, unnest(f) v, unnest(range(33)) i from ({FEATURE_ROWS})) where i in (12, 13, 17, 25)), m as (select i, avg(v) a, case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end s from f group by i) select candidate_id, cast(f.i as bigint) as i, round((v - a) / s, 6) as v from f join m on f.i = m.i")
 def ml03(s, d):
-    """Four of the 33 positions, with the moments of the whole table."""
-    c = _c(s, d)
-    at = (12, 13, 17, 25)
-    f = c.select("candidate_id", features.feature_array(F.col("distribution_features"), F.col("token_features.token_category"), F.col("step_features.step_type"), F.col("normalized_position")).alias("f"))
-    wide = f.select("candidate_id", *[F.col("f")[i].alias(f"x{i}") for i in at])
-    m = {r["feature"]: r for r in report.moments(wide, [f"x{i}" for i in at]).collect()}
-    z = features.standardized(F.array(*[f"x{i}" for i in at]), [m[f"x{i}"]["mean"] for i in at], [m[f"x{i}"]["scale"] for i in at])
-    return wide.select("candidate_id", F.posexplode(z).alias("p", "v")).select("candidate_id", F.array(*map(F.lit, at))[F.col("p")].cast("long").alias("i"), F.round("v", 6).alias("v"))
+    """The four positions of the whole vectors that the SQL checks."""
+    return ml03_all(s, d).where(F.col("i").isin(12, 13, 17, 25))
+
+
+@query("ML-03_all_standardised_vectors")
+def ml03_all(s, d):
+    """All 33 positions, with the moments of the whole table; NaN counts as zero, as in training."""
+    x = train.features_and_labels(_c(s, d), "rule", 0.4, "candidate_id").select("candidate_id", "x")
+    at = range(len(features.FEATURE_NAMES))
+    m = x.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in at], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in at]).first()
+    if m["m0"] is None:
+        return x.select("candidate_id", F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("v")).limit(0)
+    z = features.standardized(F.col("x"), [m[f"m{i}"] for i in at], [m[f"s{i}"] or 1.0 for i in at])
+    return x.select("candidate_id", F.posexplode(z).alias("i", "v")).select("candidate_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
 
 
 @query("MDL-01_greedy_generation")
