@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from tests_oracle import DATA, connect, same
 
-from tracewell.operators import features
+from tracewell.operators import features, train
 from tracewell.plans import registry
 
 NO_SQL = sorted(set(registry.QUERIES) - set(registry.SQL))
@@ -42,6 +42,15 @@ def test_all_positions_are_standardised(spark):
     assert all(abs(got[c, i] - v) < 2e-6 * max(1.0, abs(v)) for c, row in zip(rows, z, strict=True) for i, v in enumerate(row))
 
 
+def test_trainer_standardises_by_all_rows(spark):
+    c = spark.read.parquet(f"{DATA}/candidate_records.parquet").dropDuplicates(["candidate_id"])
+    few = train.train_linear(c, max_records=50, epochs=1)
+    assert few["training"]["records"] == 50 < c.count()
+    x = np.stack([r["x"] for r in train.features_and_labels(c, "rule", 0.4, "candidate_id").select("x").collect()])
+    assert np.allclose(few["standardization"]["means"], x.mean(axis=0))
+    assert np.allclose(few["standardization"]["scales"], np.where(x.std(axis=0) == 0, 1.0, x.std(axis=0)))
+
+
 def test_entry(spark):
     import __spark_entry__
 

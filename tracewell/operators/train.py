@@ -53,14 +53,17 @@ def train_linear(df: DataFrame, source: str = "rule", beta: float = 0.4, order:
     """The artifact of the ordered trainer, fitted on the first ``max_records`` rows by ``order``.
 
     The descent depends on the order of its rows and can't be split, so its input is bounded by this
-    parameter. An empty table is an error.
+    parameter; means and scales are those of all rows. An empty table is an error.
     """
-    rows = features_and_labels(df, source, beta, order).orderBy(order).limit(max_records).toPandas()
+    every = features_and_labels(df, source, beta, order)
+    rows = every.orderBy(order).limit(max_records).toPandas()
     if rows.empty:
         raise ValueError("no candidate records")
     x = np.stack(rows["x"].to_numpy())
     y = rows["y"].to_numpy(dtype=float)
-    means, scales = x.mean(axis=0), x.std(axis=0)
+    at = range(x.shape[1])
+    whole = every.agg(*[F.avg(F.col("x")[i]) for i in at], *[F.stddev_pop(F.col("x")[i]) for i in at]).first()
+    means, scales = np.array(whole[: len(at)]), np.array(whole[len(at) :])
     scales[scales == 0] = 1.0
     z = (x - means) / scales
     w, b = sgd(z, y, epochs, rate, l2)

@@ -497,7 +497,7 @@ def ml01(s, d):
 @query("ML-02_trained_selector")
 def ml02(s, d):
     c = _c(s, d).cache()
-    artifact = train.train_linear(c, "rule", max_records=2000, epochs=5)
+    artifact = train.train_linear(c, "rule")
     out = report.reasons(c.withColumn("decision", selectors.Linear.from_artifact(artifact).decide(c)))
     return out
 
