@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import capping, cutoff, mixing, overlap, percentiles, queries, splits, subjects, target_sample, tokens, truncation
+from tracewell.llm import capping, cutoff, lookup, mixing, overlap, percentiles, queries, splits, subjects, target_sample, tokens, truncation
 
 DATA = "/root/testdata/sf0.001"
 NAN = float("nan")
@@ -255,31 +255,57 @@ def test_mixture(spark):
 
 
 # 10: subjects
-def test_subjects_of_held_out_examples(spark):
-    ex = spark.read.parquet(f"{DATA}/subject_examples.parquet")
-    test = ex.where("example_id % 4 = 0").withColumn("doc_id", F.col("example_id"))
-    found = subjects.document_subjects(test.select("doc_id", "text").distinct(), ex.where("example_id % 4 <> 0"))
-    got, want = set(map(tuple, ids(found, "doc_id", "subject"))), set(map(tuple, ids(test, "doc_id", "subject")))
-    hit = len(got & want)
-    assert hit / len(want) > 0.8 and hit / len(got) > 0.8
-
-
-def test_subjects_of_nothing(spark):
-    ex = spark.read.parquet(f"{DATA}/subject_examples.parquet")
-    docs = spark.createDataFrame([(1, None), (2, " "), (3, "1 2 3")], "doc_id long, text string")
-    assert subjects.document_subjects(docs, ex).count() == 0
-    assert subjects.document_subjects(docs.limit(0), ex.limit(0)).count() == 0
-
-
-def test_leaf_names_sentences_without_examples(spark, monkeypatch):
-    monkeypatch.setattr(subjects, "LEAVES", 2)
-    tails = ["slowly", "gently", "twice", "again", "daily", "evenly", "briskly", "neatly"]
-    docs = [(i, f"the chef stirs lumpy grobble frobble mush {tails[i % 8]}. the lumpy grobble frobble mush rests") for i in range(24)]
-    docs += [(100 + i, f"judge hears stale quibble over borders of meadow {'abcdefgh'[i % 8] * 3}.") for i in range(24)]
-    ex = spark.createDataFrame([(1, "law", "the court sits.")], "example_id long, subject string, text string")
-    got = set(ids(subjects.document_subjects(spark.createDataFrame(docs, "doc_id long, text string"), ex), "doc_id", "subject"))
-    assert {(i, "cooking") for i in range(24)} <= {tuple(x) for x in got}
-    assert subjects.term_names([(1, "law", 3), (2, "law", 3), (3, "law", 3), (3, "sport", 2)], {1: 6, 2: 7, 3: 5}) == {1: "law"}
+@pytest.fixture(scope="module")
+def examples(spark):
+    return spark.read.parquet(f"{DATA}/subject_examples.parquet")
+
+
+def test_subjects_of_held_out_examples(spark, examples):
+    """A third of the examples labels documents made of the others, one to three texts each."""
+    rest = [(r["text"], r["subject"]) for r in examples.where("example_id % 3 <> 0").orderBy("example_id").collect()]
+    random.seed(4)
+    want, docs = set(), []
+    for i in range(500):
+        chosen = random.sample(rest, random.choice([1, 1, 2, 3]))
+        docs.append((i, "\n\n".join(t for t, _ in chosen), None))
+        want |= {(i, s) for t, _ in chosen for u, s in rest if u == t}
+    found = subjects.document_subjects(spark.createDataFrame(docs, "doc_id long, text string, subject string"), examples.where("example_id % 3 = 0"))
+    got = set(ids(found, "doc_id", "subject"))
+    assert len(got & want) / len(want) > 0.75 and len(got & want) / len(got) > 0.85
+
+
+def test_subjects_need_labelled_leaves(spark, examples, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(subjects, "settled_labels", lambda labels, beside: {})
+    assert subjects.document_subjects(docs, examples).count() == 0
+
+
+def test_subjects_of_nothing(spark, examples):
+    docs = spark.createDataFrame([(1, None), (2, " "), (3, "1 2 3"), (4, "")], "doc_id long, text string")
+    assert subjects.document_subjects(docs, examples).count() == 0
+    assert subjects.document_subjects(docs.limit(0), examples.limit(0)).count() == 0
+    assert subjects.document_subjects(spark.createDataFrame([(1, "the chef stirs")], "doc_id long, text string"), examples.limit(0)).count() == 0
+
+
+def test_labels_of_leaves():
+    assert subjects.term_labels([(1, "law", 0.3), (2, "law", 0.05), (3, "law", 0.2), (3, "sport", 0.2)]) == {1: "law"}
+    beside = [(4, 1, 30), (4, 5, 10), (5, 1, 10), (5, 2, 10), (5, 6, 200), (1, 1, 50), (2, 2, 50), (7, 1, 2), (7, 6, 98), (8, 1, 95), (8, 2, 5)]
+    out = subjects.settled_labels({1: "law", 2: "sport", 7: "law", 8: "sport"}, beside)
+    # 4 stands beside law; 5 beside anything; 7 is not among few; 8 is outvoted
+    assert out[4] == "law" and 5 not in out and out[8] == "law" and out[1] == "law" and out[2] == "sport"
+
+
+def test_names_and_numbers_leave_the_shape(spark):
+    df = spark.createDataFrame([(1, "Anna told Bob 12 things. we saw told things. Then we saw Anna.\nStill going"), (2, "Der Richter hört 3 Fälle")], "doc_id long, text string")
+    made = {r["part"]: r["words"] for r in subjects.parts(df, "doc_id").join(subjects.shapes_of(subjects.parts(df, "doc_id")), "part_key").collect()}
+    assert made == {"Anna told Bob # things": ["things", "told"], "we saw told things": ["saw", "things", "told", "we"], "Then we saw Anna": ["saw", "we"], "Der Richter hört # Fälle": ["der", "fälle", "hört", "richter"], "Still going": ["going"]}
+
+
+def test_hot_keys_are_looked_up_whole(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(900)] + [(-1, None)], "id long, k long")
+    table = spark.createDataFrame([(k, k * 2) for k in range(0, 900, 2)] + [(7, 14)], "k long, v long")
+    want = ids(rows.join(table, "k"), "id", "k", "v")
+    assert ids(lookup.looked_up(rows, table, "k"), "id", "k", "v") == ids(lookup.looked_up(rows, table, "k", 0), "id", "k", "v") == want
 
 
 # the queries

@@ -1,223 +1,233 @@
 """Problem 10: the subject areas of each document.
 
-A document is a mixture of passages, so its sentences are the items that are clustered. Equal
-sentences (apart from names, numbers and rare words) are one item with a weight; their normalised
-TF-IDF vectors go through bisecting k-means; a leaf is named after the subject whose labelled
-examples or discriminative terms it holds; a document has the subjects that its sentences' leaves
-show often enough.
+A document is a mixture of passages, so its parts (sentences, lines, members of a configuration) are
+the items. Equal parts, apart from names and numbers, are one shape. A shape's vector holds its own
+words and, as much again, the words of the parts it stands beside, so that wordings of one subject
+lie together even if they share no word. Bisecting k-means over the shapes of all documents gives the
+leaves. A leaf is labelled by its discriminative terms, as the labelled examples tell them, and then
+by the mixtures of leaves around it. A document has the subjects of the leaves that it mixes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tracewell.session import cut
-
-#: Leaves of the clustering, passes per bisection, and dimensions of the vectors.
-LEAVES, PASSES, DIMENSIONS = 256, 3, 2048
-#: A word counts if it stands in this share of the sentences' documents, and in three at least.
-LEAST_SHARE = 2e-4
-#: A leaf is named by examples if their weight is at least this and this share has the subject.
-LEAST_WEIGHT, LEAST_PURITY = 3.0, 0.6
-#: A leaf is named by terms if they tell this share of its sentences, and this share of these has the subject.
-LEAST_TOLD, LEAST_AGREED = 0.5, 0.8
-
-# Words that tell a subject by themselves, in the languages of the corpus (English,
-# Spanish, German), for wordings that the labelled examples don't cover.
-TERMS = {
-    "commerce": "invoice invoices shop wholesale price discount bulk buyers customers receipt till margin revenue merchant wholesaler retailer supplier rebate voucher ledger tienda factura ventas vende vendedor vendedora precio cliente clientes rebaja comerciante almacén laden händler händlerin rechnung verkäufe verkauft kunde kunden preis rabatt ware".split(),
-    "cooking": "recipe flour batter dough oven kitchen chef cook bake bakes sauce soup broth butter yeast nutmeg pantry sieve simmers hornea harina horno cocina cocinero masa salsa sopa mantequilla azúcar pastel panecillos bandejas rezept mehl ofen küche teig soße suppe zucker backt bleche brötchen".split(),
-    "geometry": "triangle triangles rectangle polygon quadrilateral prism vertex vertices sphere diagonal perimeter chord cone bisector altitude triángulo rectángulo prisma ángulo lados altura círculo perímetro volumen área dreieck rechteck winkel seiten höhe kreis umfang fläche grundfläche".split(),
-    "health": "hospital doctor nurse patient patients drug vaccine surgeon midwife dentist fever clinic pharmacy asthma ward milligrams syringes médico médica clínica enfermera enfermero paciente pacientes vacunas fármaco miligramos arzt ärztin klinik pflegerin pfleger patienten impfdosen impfstoff fieber milligramm verschreibt".split(),
-    "law": "court judge plaintiff defendant lawyer attorney attorneys verdict judgment statute lease heirs probate petition fined oath notary counsel jury trial tribunal juez jueza abogado abogada demanda demandante acusado sentencia multa contrato incumplimientos inquilino herederos notario gericht richter richterin anwalt anwältin klage kläger urteil beweise mietvertrag verstöße strafe erben notar".split(),
-    "probability": "probability random dice die coin coins permutation combination outcomes urns marbles probabilidad dado dados moneda baraja urnas bolas azar probables wahrscheinlichkeit wahrscheinliche würfel münze kartenstapel urne urnen kugeln zufällig zufall".split(),
-    "science": "laboratory experiment hypothesis telescope microscope biologist chemist electrons pendulum rocket velocity comet bacteria joules moles vacuum sonda velocidad laboratorio experimento telescopio microscopio muestras bacterias átomos geschwindigkeit labor experiment teleskop mikroskop proben bakterien atome rakete".split(),
-    "software": "compiler database server code repository deployment endpoint parser cache scheduler checkpoint checkpoints dataloader optimizer debugger breakpoint loss norm lr grad_norm grad cuda selector batch_size device_map launch resuming adapter workers datos código programa servidor repositorio compilador desplegar datenbank programm programms quelltext speicher".split(),
-    "sport": "coach team match league fixture tournament referee goalkeeper striker athlete athletes stadium jersey laps championship triathlon rally tennis umpire entrenador entrenadora equipo partidos liga árbitro portero goles campeonato pista mannschaft spiele liga schiedsrichter torwart toren turnier meisterschaft laufbahn runden".split(),
-    "travel": "train ferry flight airport passengers tourists luggage hostel guide passports border journey trip route tren pasajeros aeropuerto equipaje frontera vagones asientos viaje kilómetros zug wagen fahrgäste flughafen bahnhof gepäck koffer grenze reise kilometer".split(),
-}
-#: Words by which a sentence is read as German, whose nouns are no names though they are capitalised.
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from tracewell.llm.lookup import looked_up
+from tracewell.session import cut, ensure_checkpoint_dir
+
+#: Leaves of the clustering, passes per bisection, and dimensions that words are hashed into.
+LEAVES, PASSES, DIMENSIONS = 512, 5, 2048
+#: Parts on either side that count as the surroundings, their rarest words that are used, and the weight of the surroundings.
+NEAR, RAREST, SURROUNDINGS = 2, 3, 1.0
+#: A word tells a subject by its share of the examples with the word beyond this one.
+CHANCE = 0.3
+#: A leaf is labelled by its terms if these tell so much and the first subject has this share of what they tell.
+LEAST_TOLD, LEAST_PURITY = 0.12, 0.6
+#: A leaf without a label gets that of its surroundings if this part of them is labelled and this share of these agrees.
+LEAST_AROUND, LEAST_AGREED = 0.25, 0.7
+#: A label is dropped if fewer of the surroundings have one, or agree, and changed if so many agree on another.
+LONELY, DIVIDED, OUTVOTED = 0.1, 0.35, 0.8
+#: Rounds of labelling by surroundings.
+ROUNDS = 3
+#: Shapes of one subject that a passage holds at least.
+LEAST_SHAPES = 2
+
+_BREAK = r"[.!?]+\s+|[\r\n]+(?!\s*\p{Ll})|,\s*(?=\x22)"
+_MARKERS = r"<\|[^|>]*\|>|\[UNK\]|</?s>|[\x{200b}-\x{200d}\x{2060}\x{feff}]"
+#: Words by which a part is read as German, where a capital doesn't tell a name.
 GERMAN = r"(?i)\b(?:der|das|und|dem|ein|eine|je|für|mit|wird|hat)\b"
-#: Share of examples below which a sentence may stand in any subject.
-GENERIC = 0.35
-#: A sentence without a subject of its own takes that of the documents it stands in, if these agree so far.
-COMPANY, LEAST_COMPANY = 0.7, 3
 
 
-def sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key``, ``raw`` for each sentence or line: its lower-case words without inner names and numbers.
+def parts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``id``, ``at``, ``part`` (numbers masked) and ``part_key`` for each part of a text.
 
-    Markers of tokenizers and invisible characters are dropped. Null, blank and wordless texts give
-    no row; texts are read whole.
+    Null texts give no row. Texts are read whole; a line break before a lower-case word is layout.
+    ``part_key`` is a 64-bit hash.
     """
-    t = F.regexp_replace(F.col(text), r"<\|[^|>]*\|>|\[UNK\]|</?s>|[\x{200b}-\x{200d}\x{2060}\x{feff}]", " ")
-    # a line break inside a sentence (before a lower-case word) is layout
-    t = F.regexp_replace(t, r"\s*[\r\n]+\s*(?=\p{Ll})", " ")
-    parts = F.explode(F.split(t, r"(?<=[.!?])\s+|\s*[\r\n]+\s*"))
-    s = df.where(F.col(text).isNotNull()).select(key, parts.alias("_s"))
-    nameless = F.regexp_replace("_s", r"(?<=[\p{L}\p{N},;'’] )\p{Lu}[\p{L}'’]*", " ")
-    inner = F.when(F.col("_s").rlike(GERMAN), F.col("_s")).otherwise(nameless)
-    words = F.regexp_extract_all(F.lower(inner), F.lit(r"[\p{L}_]{2,}"), 0)
-    return s.select(key, F.array_join(words, " ").alias("raw")).where("raw <> ''")
-
-
-def _shapes(counted: DataFrame, documents: int) -> DataFrame:
-    """``raw``, ``words`` of every distinct sentence, with the words common enough to matter."""
-    least = max(3, int(LEAST_SHARE * documents))
-    each = counted.select("raw", "n", F.explode(F.array_distinct(F.split("raw", " "))).alias("word"))
-    common = each.groupBy("word").agg(F.sum("n").alias("df")).where(F.col("df") >= least).select("word")
-    return each.join(common, "word").groupBy("raw").agg(F.array_sort(F.collect_list("word")).alias("words"), F.first("n").alias("n"))
-
-
-def example_names(votes: list) -> dict[int, str]:
-    """Subjects of the leaves that their examples agree on."""
-    by: dict[int, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for leaf, subject, w in votes:
-        by[leaf][subject] += w
-    names = {}
-    for leaf, v in by.items():
-        best = max(sorted(v), key=lambda s: v[s])
-        if sum(v.values()) >= LEAST_WEIGHT and v[best] / sum(v.values()) >= LEAST_PURITY:
-            names[leaf] = best
-    return names
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.posexplode(F.split(text, _BREAK)).alias("at", "part"))
+    masked = rows.select("id", "at", F.regexp_replace("part", r"\d+", "#").alias("part"))
+    return masked.withColumn("part_key", F.xxhash64("part"))
+
+
+def _capital(w: Column) -> Column:
+    first = F.substring(w, 1, 1)
+    return first != F.lower(first)
 
 
-def term_names(told: list, sizes: dict[int, int]) -> dict[int, str]:
-    """Subjects of the leaves of whose sentences the terms tell enough and agree.
+def shapes_of(distinct_parts: DataFrame) -> DataFrame:
+    """``part_key``, ``shape`` (a 64-bit hash), ``words`` (sorted, distinct) of distinct parts.
 
-    ``told`` has leaf, subject and sentences whose terms tell it; ``sizes`` the sentences of each leaf.
+    Capitalised words inside a part are names and are left out, but in German; the first word of a
+    part is kept if the corpus has it in lower case inside parts at least as often as capitalised.
+    Parts without words are left out.
     """
-    by: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for leaf, subject, n in told:
-        by[leaf][subject] += n
-    names = {}
+    text = F.regexp_replace("part", _MARKERS, " ")
+    w = distinct_parts.select("part_key", text.alias("part")).select("part_key", F.regexp_extract_all("part", F.lit(r"[\p{L}_]{2,}"), 0).alias("w"), F.col("part").rlike(GERMAN).alias("german"))
+    w = cut(w.where(F.size("w") > 0))
+    inner = w.where("not german").select(F.explode(F.slice("w", 2, 1 << 30)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    cap = _capital(F.col("word"))
+    usual = inner.groupBy(F.lower("word").alias("first")).agg(F.sum(F.when(~cap, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(cap, F.col("n")).otherwise(0)).alias("cap")).where("low >= 1 and low >= cap")
+    first = w.withColumn("first", F.lower(F.element_at("w", 1))).join(usual.select("first", F.lit(True).alias("usual")), "first", "left")
+    keep = F.filter("w", lambda x, i: F.col("german") | ~_capital(x) | ((i == 0) & F.coalesce("usual", F.lit(False))))
+    words = F.array_sort(F.array_distinct(F.transform(keep, F.lower)))
+    return first.select("part_key", words.alias("words")).where(F.size("words") > 0).withColumn("shape", F.xxhash64(F.array_join("words", " ")))
+
+
+def surroundings(placed: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``n``: how often shape b stands within ``NEAR`` parts of shape a, both ways."""
+    order = Window.partitionBy("id").orderBy("at")
+    ahead = placed.select(F.col("shape").alias("a"), *[F.lead("shape", k).over(order).alias(f"_{k}") for k in range(1, NEAR + 1)])
+    near = ahead.select("a", F.explode(F.array(*[f"_{k}" for k in range(1, NEAR + 1)])).alias("b")).where("b is not null")
+    one_way = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return one_way.select(both.alias("p"), "n").select("p.a", "p.b", "n")
+
+
+def _vectors(terms: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``shape``, ``weight``, ``features``: the normalised vectors, stored in the checkpoint folder.
+
+    Words are hashed into signed buckets before they are summed, so a row has at most ``DIMENSIONS`` entries.
+    """
+    bucket = F.pmod(F.xxhash64("word"), F.lit(DIMENSIONS)).cast("int").alias("bucket")
+    sign = F.when(F.pmod(F.xxhash64("word", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    own = terms.select("shape", bucket, (sign * F.col("x")).alias("own"), F.lit(0.0).alias("ctx"))
+    rarest = terms.where(F.col("place") <= RAREST).select(F.col("shape").alias("b"), bucket, (sign * F.col("x_rare")).alias("x"))
+    ctx = pairs.join(rarest, "b").groupBy(F.col("a").alias("shape"), "bucket").agg(F.sum(F.col("n") * F.col("x")).alias("ctx"))
+    both = own.union(ctx.select("shape", "bucket", F.lit(0.0).alias("own"), "ctx")).groupBy("shape", "bucket").agg(F.sum("own").alias("own"), F.sum("ctx").alias("ctx"))
+    rows = both.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("bucket", "own", "ctx"))).alias("e"), F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("no"), F.sqrt(F.sum(F.col("ctx") * F.col("ctx"))).alias("nc"))
+    x = F.transform("e", lambda e: e["own"] / F.greatest("no", F.lit(1e-9)) + F.lit(SURROUNDINGS) * e["ctx"] / F.greatest("nc", F.lit(1e-9)))
+    rows = rows.select("shape", F.transform("e", lambda e: e["bucket"]).alias("i"), x.alias("x")).withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))
+    unit = F.transform("x", lambda v: v / F.greatest("norm", F.lit(1e-9)))
+    # a sparse vector is stored as this struct, so the table read again with the vector type needs no Python
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(DIMENSIONS).alias("size"), F.col("i").alias("indices"), unit.alias("values"))
+    spark = terms.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}"
+    rows.join(sizes, "shape").select("shape", F.log1p("n").alias("weight"), vector.alias("features")).write.parquet(path)
+    return spark.read.schema(StructType([StructField("shape", LongType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])).parquet(path)
+
+
+def telling_words(examples: DataFrame) -> DataFrame:
+    """``word``, ``subject``, ``tells``: the share of the examples with the word that has the subject, beyond ``CHANCE``.
+
+    ``examples``: text_key, subject, word, w (1 / number of the text's subjects).
+    """
+    by = examples.groupBy("word", "subject").agg(F.sum("w").alias("v"))
+    whole = by.groupBy("word").agg(F.sum("v").alias("all"))
+    tells = (F.col("v") + 0.05) / (F.col("all") + 0.5) - CHANCE
+    return by.join(whole, "word").select("word", "subject", tells.alias("tells")).where("tells > 0")
+
+
+def term_labels(scores: list[tuple[int, str, float]]) -> dict[int, str]:
+    """Labels of the leaves whose discriminative terms tell enough, from (leaf, subject, told)."""
+    by: dict[int, dict[str, float]] = defaultdict(dict)
+    for leaf, subject, told in scores:
+        by[leaf][subject] = told
+    out = {}
     for leaf, v in by.items():
         best = max(sorted(v), key=lambda s: v[s])
-        whole = sum(v.values())
-        if v[best] >= LEAST_WEIGHT and whole >= LEAST_TOLD * sizes[leaf] and v[best] >= LEAST_AGREED * whole:
-            names[leaf] = best
-    return names
-
-
-def term_subject(words: list[str], seen: dict[str, dict[str, float]]) -> tuple[str, float] | None:
-    """The subject that the terms tell and how strongly, if one clearly leads."""
-    score: dict[str, float] = defaultdict(float)
-    for w in words:
-        for s, x in seen.get(w, {}).items():
-            score[s] += x
-    order = sorted(score.items(), key=lambda x: (-x[1], x[0]))
-    if order and order[0][1] >= 1.0 and (len(order) == 1 or order[0][1] >= 2 * order[1][1]):
-        return order[0]
-    return None
-
-
-def word_subjects(words: list[tuple[str, str, float]]) -> dict[str, dict[str, float]]:
-    """What a word tells: the fixed terms one each, and words of which a subject holds most examples."""
-    out: dict[str, dict[str, float]] = defaultdict(dict)
-    held: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for w, s, x in words:
-        held[w][s] += x
-    for w, v in held.items():
-        best = max(sorted(v), key=lambda s: v[s])
-        whole = sum(v.values())
-        if whole >= LEAST_WEIGHT and v[best] / whole >= LEAST_PURITY:
-            out[w][best] = v[best] / whole
-    for s, ws in TERMS.items():
-        for w in ws:
-            if w not in held or sum(held[w].values()) < LEAST_WEIGHT:
-                out[w][s] = 1.0
+        if v[best] >= LEAST_TOLD and v[best] >= LEAST_PURITY * sum(v.values()):
+            out[leaf] = best
     return out
 
 
-def sentence_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id``, ``raw``, ``n``) of all documents, and ``raw``, ``subject``, ``weight``, ``direct`` of the sentences with one; those that only their leaf names are not direct.
-
-    The clustering covers the distinct sentences of all documents and examples. The driver holds
-    the names of the leaves and the words of the examples, both bounded by parameters or by the
-    example table, which is small by definition.
+def settled_labels(labels: dict[int, str], beside: list[tuple[int, int, float]]) -> dict[int, str]:
+    """Labels after the rounds that hold each leaf against the leaves around it, from (leaf, other leaf, n)."""
+    subjects = sorted(set(labels.values()))
+    if not subjects or not beside:
+        return labels
+    at = {s: i for i, s in enumerate(subjects)}
+    a, b, n = (np.array(x) for x in zip(*beside, strict=True))
+    leaves = int(max(a.max(), b.max(), *labels)) + 1
+    whole = np.bincount(a, n, leaves)
+    for _ in range(ROUNDS):
+        mark = np.array([at.get(labels.get(leaf, ""), len(subjects)) for leaf in range(leaves)])
+        near = np.zeros((leaves, len(subjects) + 1))
+        np.add.at(near, (a, mark[b]), n)
+        known = near[:, :-1].sum(1)
+        share = near[:, :-1].max(1) / np.maximum(known, 1)
+        part = known / np.maximum(whole, 1)
+        new = dict(labels)
+        for leaf in range(leaves):
+            if known[leaf] < 5:
+                continue
+            top = subjects[int(near[leaf, :-1].argmax())]
+            if leaf not in labels:
+                if part[leaf] >= LEAST_AROUND and share[leaf] >= LEAST_AGREED:
+                    new[leaf] = top
+            elif share[leaf] < DIVIDED or part[leaf] < LONELY:
+                del new[leaf]
+            elif share[leaf] >= OUTVOTED:
+                new[leaf] = top
+        if new == labels:
+            break
+        labels = new
+    return labels
+
+
+def shape_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``id``, ``shape`` of all parts of all documents) and (``shape``, ``subject``) of the shapes in labelled leaves.
+
+    The driver holds what the leaves bound: a score per leaf and subject and a count per pair of leaves.
     """
-    docs = cut(sentences(documents, "doc_id").groupBy("doc_id", "raw").agg(F.count("*").alias("n")))
-    ex = examples.where("text is not null and subject is not null").select("subject", "text")
-    shared = ex.groupBy("text").agg(F.count_distinct("subject").alias("k"))
-    labelled = cut(sentences(ex.join(shared, "text").select(F.struct("subject", "k").alias("key"), "text"), "key").select("key.subject", (F.lit(1.0) / F.col("key.k")).alias("w"), "raw"))
-    counted = docs.groupBy("raw").agg(F.count("*").alias("n")).union(labelled.groupBy("raw").agg(F.count("*").alias("n"))).groupBy("raw").agg(F.sum("n").alias("n"))
-    shapes = cut(_shapes(counted, documents.count()))
-    items = shapes.groupBy("words").agg(F.sum("n").cast("double").alias("weight"))
-    if items.isEmpty():
-        return docs, documents.sparkSession.createDataFrame([], "raw string, subject string, weight int, direct boolean")
-    tf = HashingTF(numFeatures=DIMENSIONS, binary=True, inputCol="words", outputCol="tf").transform(items)
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)
-    vectors = cut(Normalizer(inputCol="tfidf", outputCol="features").transform(idf).select("words", F.log1p("weight").alias("weight"), "features"))
+    spark = documents.sparkSession
+    found = cut(parts(documents, "doc_id"))
+    ex = examples.where("text is not null and subject is not null").select("subject", "text").distinct()
+    ex_parts = parts(ex.select(F.xxhash64("text").alias("t"), "text").dropDuplicates(["t"]), "t")
+    both = found.select("part_key", "part").union(ex_parts.select("part_key", "part")).dropDuplicates(["part_key"])
+    table = cut(shapes_of(both))
+    narrow = cut(table.select("part_key", "shape"))
+    placed = cut(looked_up(found.select("id", "at", "part_key"), narrow, "part_key").select("id", "at", "shape"))
+    none = placed.select("id", "shape"), spark.createDataFrame([], "shape long, subject string")
+    sizes = cut(placed.groupBy("shape").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0]
+    if not total:
+        return none
+    words = table.dropDuplicates(["shape"]).join(sizes, "shape").select("shape", "n", F.explode("words").alias("word"))
+    df = words.groupBy("word").agg((F.log(F.lit(float(total + 1)) / (F.sum("n") + 1.0))).alias("idf"))
+    rare = Window.partitionBy("shape").orderBy(F.col("idf").desc(), "word")
+    t = words.join(df, "word").withColumn("place", F.row_number().over(rare)).withColumn("sq", F.col("idf") * F.col("idf"))
+    t = t.withColumn("norm", F.sqrt(F.sum("sq").over(Window.partitionBy("shape")))).withColumn("norm_rare", F.sqrt(F.sum(F.when(F.col("place") <= RAREST, F.col("sq"))).over(Window.partitionBy("shape"))))
+    terms = cut(t.select("shape", "word", "n", "place", F.try_divide("idf", "norm").alias("x"), F.try_divide("idf", "norm_rare").alias("x_rare")).fillna(0.0, ["x", "x_rare"]))
+    pairs = cut(surroundings(placed))
+    vectors = _vectors(terms, pairs, sizes)
     model = BisectingKMeans(k=LEAVES, maxIter=PASSES, seed=3, weightCol="weight", minDivisibleClusterSize=4.0).fit(vectors)
-    leaves = cut(model.transform(vectors).select("words", "weight", F.col("prediction").alias("leaf")).join(shapes.select("raw", "words"), "words"))
-    votes = [tuple(r) for r in leaves.join(labelled, "raw").groupBy("leaf", "subject").agg(F.sum("w")).collect()]
-    heard = labelled.select("subject", "w", F.explode(F.array_distinct(F.split("raw", " "))).alias("word")).groupBy("word", "subject").agg(F.sum("w")).collect()
-    told = word_subjects([tuple(r) for r in heard])
-    # examples of the very sentence: how many there are, and the share of the commonest subject
-    own_votes = leaves.join(labelled, "raw").groupBy("words", "subject").agg(F.sum("w").alias("v")).groupBy("words").agg(F.sum("v").alias("votes"), F.max("v").alias("best"))
-    known = leaves.join(own_votes, "words", "left").select("raw", "words", "leaf", F.coalesce("votes", F.lit(0.0)).alias("votes"), F.coalesce("best", F.lit(0.0)).alias("best"))
-
-    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            own = [term_subject(list(words), told) or (None, 0.0) for words in f["words"]]
-            yield f.assign(own=[x[0] for x in own], strength=[x[1] for x in own])
-
-    generic = (F.col("votes") >= LEAST_WEIGHT) & (F.col("best") / F.col("votes") < GENERIC)
-    heard_by = cut(known.mapInPandas(tell, "raw string, words array<string>, leaf int, votes double, best double, own string, strength double").withColumn("generic", generic))
-    items_told = heard_by.where("not generic").groupBy("leaf", "words").agg(F.first("own").alias("own"))
-    by_terms = [tuple(r) for r in items_told.groupBy("leaf", "own").agg(F.count("*")).collect()]
-    sizes: dict[int, int] = defaultdict(int)
-    for leaf, _, n in by_terms:
-        sizes[leaf] += n
-    # a leaf named by examples names their sentences; one whose own sentences agree by their terms may
-    # also name those that the examples don't know and whose terms tell nothing (see below)
-    by_examples = example_names(votes)
-    spread = {leaf: x for leaf, x in term_names([r for r in by_terms if r[1] is not None], sizes).items() if by_examples.get(leaf, x) == x}
-    rows = [(leaf, by_examples.get(leaf), spread.get(leaf)) for leaf in sorted(by_examples.keys() | spread.keys())]
-    spine = documents.sparkSession.createDataFrame(rows, "leaf int, by_examples string, spread string")
-    subject = F.when(F.col("votes") > 0, F.coalesce("by_examples", "own")).otherwise(F.col("own"))
-    named = cut(
-        heard_by.join(F.broadcast(spine), "leaf", "left").select(
-            "raw", "words", "generic", "spread", F.when(~F.col("generic"), subject).alias("subject"), F.when((F.col("strength") >= 2) & (F.col("votes") == 0) & ~F.col("generic"), 2).otherwise(1).alias("weight")
-        )
-    )
-    # sentences without a subject of their own: that of the documents of one subject in which they stand;
-    # documents with the same telling sentences are one company, so that a problem told a thousand times
-    # counts once
-    own_sentences = docs.join(named.where("subject is not null").select("raw", "subject"), "raw")
-    pure = own_sentences.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("subject").alias("subject"), F.max("subject").alias("_max"), F.bit_xor(F.xxhash64("raw")).alias("company")).where("k >= 2 and subject = _max")
-    unknown = named.where("subject is null and not generic").select("raw", "words")
-    beside = docs.join(unknown, "raw").join(pure.select("doc_id", "subject", "company"), "doc_id").groupBy("words", "subject").agg(F.count_distinct("company").alias("n"))
-    company = beside.groupBy("words").agg(F.max_by("subject", "n").alias("_late"), F.max("n").alias("_n"), F.sum("n").alias("_all")).where((F.col("_n") >= LEAST_COMPANY) & (F.col("_n") >= COMPANY * F.col("_all"))).select("words", "_late")
-    late = cut(named.join(company, "words", "left").withColumn("subject", F.coalesce("subject", F.when(~F.col("generic"), F.col("_late")))))
-    direct = late.where("subject is not null").select("raw", "subject", "weight", F.lit(True).alias("direct"))
-    # the rest has the name of its leaf, if the mixtures of the documents that it stands in hold this subject
-    rest = late.where("subject is null and not generic and spread is not null").select("raw", "words", F.col("spread").alias("subject"))
-    mixtures = docs.join(direct, "raw").select("doc_id", "subject", "direct").distinct()
-    stands = docs.join(rest, "raw").select("doc_id", "words", "subject").distinct().join(mixtures, ["doc_id", "subject"], "left")
-    held = stands.groupBy("words").agg(F.avg(F.when(F.col("direct"), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") >= COMPANY).select("words")
-    by_leaf = rest.join(held, "words").select("raw", "subject", F.lit(1).alias("weight"), F.lit(False).alias("direct"))
-    return docs, direct.union(by_leaf)
+    leaves = cut(model.transform(vectors).select("shape", F.col("prediction").alias("leaf")))
+    # the discriminative terms of a leaf: its words by weight and by how far they exceed the mean of all leaves
+    per_leaf = terms.join(leaves, "shape").groupBy("leaf", "word").agg(F.sum(F.log1p("n") * F.col("x")).alias("m"))
+    share = per_leaf.withColumn("m", F.try_divide("m", F.sum("m").over(Window.partitionBy("leaf"))))
+    mean = share.groupBy("word").agg((F.sum("m") / float(max(1, leaves.select("leaf").distinct().count()))).alias("mean"))
+    excess = share.join(mean, "word").withColumn("d", F.col("m") * F.greatest(F.lit(0.0), F.log(F.try_divide("m", "mean")))).withColumn("d", F.try_divide("d", F.sum("d").over(Window.partitionBy("leaf"))))
+    k = ex.groupBy(F.xxhash64("text").alias("id")).agg(F.count_distinct("subject").alias("k"))
+    heard = ex.select(F.xxhash64("text").alias("id"), "subject").join(k, "id").join(ex_parts.select("id", "part_key"), "id").join(table, "part_key")
+    heard = heard.select("id", "subject", (1.0 / F.col("k")).alias("w"), F.explode("words").alias("word")).distinct()
+    scores = excess.join(telling_words(heard), "word").groupBy("leaf", "subject").agg(F.sum(F.col("d") * F.col("tells")).alias("told"))
+    labels = term_labels([(r["leaf"], r["subject"], r["told"]) for r in scores.where("told > 0").collect()])
+    of = lambda c: leaves.select(F.col("shape").alias(c), F.col("leaf").alias(f"leaf_{c}"))
+    beside = pairs.join(of("a"), "a").join(of("b"), "b").groupBy("leaf_a", "leaf_b").agg(F.sum("n").alias("n")).toPandas()
+    labels = settled_labels(labels, list(beside.itertuples(index=False, name=None)))
+    named = spark.createDataFrame(sorted(labels.items()), "leaf int, subject string")
+    return placed.select("id", "shape"), cut(leaves.join(F.broadcast(named), "leaf").select("shape", "subject"))
 
 
 def document_subjects(documents: DataFrame, examples: DataFrame) -> DataFrame:
-    """``doc_id``, ``subject`` for every subject that a whole problem or passage of the document is set in.
+    """``doc_id``, ``subject`` for every subject that the document's mixture of leaves holds.
 
-    A subject needs two telling sentences, or one that holds two or more discriminative terms in a
-    wording that the examples don't know; a sentence that only its leaf names counts beside another.
-    Repeated sentences of a document count once. A document
-    without telling sentences, or with a null or blank text, has no subject.
+    A subject needs ``LEAST_SHAPES`` different parts from leaves of that label, so that a stray word or
+    figure of speech doesn't count. Repeated parts of a document count once. Null, blank and wordless
+    texts have no subject; without documents, examples or labelled leaves the result is empty.
     """
-    docs, told = sentence_subjects(documents, examples)
-    per = docs.join(told, "raw").groupBy("doc_id", "subject").agg(F.sum("weight").alias("n"), F.max("direct").alias("direct"))
-    return per.where("n >= 2 and direct").select("doc_id", "subject")
+    placed, told = shape_subjects(documents, examples)
+    per = looked_up(placed.distinct(), told, "shape").groupBy("id", "subject").agg(F.count("*").alias("n"))
+    return per.where(F.col("n") >= LEAST_SHAPES).select(F.col("id").alias("doc_id"), "subject")
 
 
 def subject_report(documents: DataFrame, found: DataFrame) -> DataFrame:
