@@ -105,12 +105,60 @@ def test_truncation(spark):
     assert set(ids(truncation.cut_values(df), "eval_id", "field")) == {(n, "response"), (n + 1, "response"), (n + 2, "prediction"), (n + 5, "response")}
 
 
+EVALS = "eval_id long, writer string, gold string, prediction string, correct boolean, response string"
+
+
 def test_length_hazard(spark):
     random.seed(5)
-    rows = [(i, "w", "x" * min(50, int(random.gauss(45, 12)) if random.random() < 2 else 0 or 1)) for i in range(1500)]
-    vals = spark.createDataFrame([(i, w, "response", v or "x") for i, w, v in rows], "eval_id long, writer string, field string, value string")
-    found = {(r["unit"], r["length"]) for r in truncation.significant_lengths(vals).collect()}
-    assert ("chars", 50) in found and not any(u == "chars" and z < 45 for u, z in found)
+    rows = [(i, "w", None, None, None, "x" * max(1, min(50, int(random.gauss(45, 12))))) for i in range(1500)]
+    found = {(r["unit"], r["length"]) for r in truncation.significant_lengths(truncation.measured(spark.createDataFrame(rows, EVALS))).collect()}
+    assert ("chars", 50) in found and ("bytes", 50) in found and not any(u == "chars" and z < 45 for u, z in found)
+
+
+def limited_rows(n=600, limit=120, mark=""):
+    """Whole replies and, where they are longer than the limit, what is left of them."""
+    random.seed(11)
+    rows, cut = [], set()
+    for i in range(n):
+        body = " ".join(random.choice(["We add the terms here.", "Then it is right.", "Every value is used once."]) for _ in range(random.randrange(2, 9)))
+        whole = f"{body} The answer is {100 + i}."
+        if len(whole) > limit:
+            cut.add((i, "response"))
+        rows.append((i, "w", str(100 + i), None, None, whole[:limit] + mark if len(whole) > limit else whole))
+    return rows, cut
+
+
+@pytest.mark.parametrize("mark", ["", " <snip>", "..."])
+def test_significant_lengths_decide(spark, monkeypatch, mark):
+    rows, cut = limited_rows(mark=mark)
+    df = spark.createDataFrame(rows, EVALS)
+    got = set(ids(truncation.cut_values(df), "eval_id", "field"))
+    assert got <= cut and len(got) > 0.9 * len(cut)
+    real = truncation.significant_lengths
+    monkeypatch.setattr(truncation, "significant_lengths", lambda rows: real(rows).limit(0))
+    without = set(ids(truncation.cut_values(df), "eval_id", "field"))
+    assert without <= got and (len(without) < len(got) or not mark)
+
+
+def test_stock_replies_have_no_mark(spark):
+    rows, _ = limited_rows(200, 1000)
+    rows += [(1000 + i, "w", "1", None, None, "No idea, sorry") for i in range(60)]
+    assert truncation.cut_values(spark.createDataFrame(rows, EVALS)).count() == 0
+
+
+def test_long_last_word(spark):
+    word = "x+y=" * 60
+    rows = [(i, "w", None, None, None, f"So we get {word}z.") for i in range(60)] + [(99, "w", None, None, None, f"So we get {word}"), (100, None, None, "", None, "")]
+    assert ids(truncation.cut_values(spark.createDataFrame(rows, EVALS)), "eval_id") == [(99,)]
+    assert truncation.cut_values(spark.createDataFrame([], EVALS)).count() == 0
+
+
+def test_continued_counts(spark):
+    random.seed(6)
+    keys = sorted({"".join(random.choice("ab ") for _ in range(random.randrange(1, 7))) for _ in range(200)})
+    counted = spark.createDataFrame([(k, i % 5 + 1) for i, k in enumerate(keys)], "key string, n long")
+    got = {r["key"]: r["goes_on"] for r in truncation._continued(counted, counted.select("key")).collect()}
+    assert got == {k: sum(i % 5 + 1 for i, x in enumerate(keys) if x != k and x.startswith(k)) for k in keys}
 
 
 # 4: target shares

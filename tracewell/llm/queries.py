@@ -61,7 +61,7 @@ def p3_found(s: SparkSession, d: str) -> DataFrame:
 
 def p3_lengths(s: SparkSession, d: str) -> DataFrame:
     """Lengths at which a writer's values end significantly often."""
-    return truncation.significant_lengths(truncation.values(table(s, d, "eval_outputs"))).select("writer", "field", "unit", "length", "n", "risk")
+    return truncation.significant_lengths(truncation.measured(table(s, d, "eval_outputs"))).select("writer", "field", "unit", "length", "n", "risk")
 
 
 def p3_report(s: SparkSession, d: str) -> DataFrame:
