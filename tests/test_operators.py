@@ -2,11 +2,12 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import classify, dist, labels
-from tracewell.operators import budget, components, compare, ranking, selectors, train
+from tracewell.operators import budget, components, compare, ranking, report, selectors, train
 from tracewell.sources import jsonl, sinks
 from tracewell.streaming import ledger
 
@@ -145,8 +146,6 @@ def test_selectors_on_nan_and_null(spark):
 
 
 def test_sgd_matches_a_plain_loop():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(40, 3)), rng.integers(0, 2, 40).astype(float)
     w, b = [0.0] * 3, 0.0
@@ -174,7 +173,7 @@ def test_jsonl_errors(spark, tmp_path):
         jsonl.read_jsonl(spark, str(p), "a int").collect()
     assert jsonl.read_jsonl(spark, str(tmp_path / "none"), "a int", "drop").count() == 0
     assert sinks.write_jsonl(spark.createDataFrame([("ü", None)], "a string, b int"), str(tmp_path / "out")) == 1
-    assert '"b":null' in next((tmp_path / "out").glob("*.json")).read_text()
+    assert '"b":null' in "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))
 
 
 def test_stream_resumes_without_duplicates(spark, tmp_path):
@@ -189,3 +188,39 @@ def test_stream_resumes_without_duplicates(spark, tmp_path):
     run()
     got = sorted((r["prompt_id"], r["step"]) for r in spark.read.parquet(str(tmp_path / "c")).collect())
     assert got == [(p, s) for p in "abc" for s in (1, 2)]
+
+
+def test_features_of_unequal_vocabularies(spark):
+    df = spark.createDataFrame([([0.5, 0.3, 0.2], [0.2, 0.3, 0.1, 0.4], 3), ([0.5, 0.5], [0.25, 0.75], 1), ([1.0], [1.0], 0), ([], [1.0], 0), (None, [1.0], 0)], "e array<double>, a array<double>, t int")
+    r = [x["f"] for x in df.select(dist.distribution_features(F.col("e"), F.col("a"), F.col("t")).alias("f")).collect()]
+    p = np.array([0.2, 0.3, 0.1]) / 0.6
+    assert r[0]["amateur_top1_id"] == 1 and math.isclose(r[0]["amateur_entropy"], -(p * np.log(p)).sum()) and r[0]["target_amateur_prob"] is None and r[0]["target_expert_prob"] is None
+    assert (r[1]["expert_top1_id"], r[1]["expert_top2_margin"], r[1]["target_prob_gap"]) == (0, 0.0, -0.25)
+    assert r[2]["expert_top2_margin"] == 1.0 and r[2]["expert_entropy"] == 0.0
+    assert r[3] is None and r[4] is None
+
+
+def test_dense_label_against_a_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [([int(x) for x in rng.integers(-2, 12, n)], [float(x) for x in rng.random(n)]) for n in (0, 1, 3, 6, 9, 9, 9)] + [(None, None), ([0, 9, 0], [1.0, 2.0, 3.0])]
+    got = [r["v"] for r in spark.createDataFrame(rows, "i array<int>, w array<double>").select(dist.dense_label(F.col("i"), F.col("w"), 10).alias("v")).collect()]
+    for (ids, ws), v in zip(rows, got, strict=True):
+        want = [0.0] * 10
+        for i, w in zip(ids or [], ws or [], strict=True):
+            if 0 <= i < 10:
+                want[i] = w
+        assert v == want
+
+
+def test_medians_spread_over_tasks(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, float("nan"), 1.0, 1.0, rng.random()])) for _ in range(400)] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    made = report.medians(df, ["g"], "v")
+    got = {r["g"]: r["median"] for r in made.collect()}
+    want = {g: float(np.median(v)) for g in ("hot", "a", None) if (v := [x for k, x in rows if k == g and x is not None and x == x])}
+    assert got == want and "percentile" not in made._jdf.queryExecution().executedPlan().toString()
+    assert report.summary(df.limit(0), {"v": F.col("v")}).count() == 0
+    s = report.summary(df, {"v": F.col("v"), "none": F.lit(None).cast("double")})
+    r = {x["metric"]: x for x in s.collect()}
+    assert r["none"]["n"] == 0 and r["none"]["median"] is None and r["v"]["n"] == sum(x is not None and x == x for _, x in rows)

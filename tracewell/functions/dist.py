@@ -56,10 +56,13 @@ def top1_id(p: Column) -> Column:
 
 
 def top2(p: Column) -> Column:
-    """The two greatest: ids and probabilities, ties to the lower id; of one element the second is (null, 0)."""
-    order = F.array_sort(F.transform(p, lambda x, i: F.struct((-x).alias("neg"), i.alias("id"))))
-    first, second = F.try_element_at(order, F.lit(1)), F.try_element_at(order, F.lit(2))
-    return F.struct(first["id"].alias("id1"), (-first["neg"]).alias("p1"), second["id"].alias("id2"), F.coalesce(-second["neg"], F.lit(0.0)).alias("p2"))
+    """The two greatest: ids and probabilities, ties to the lower id; of one element the second is (null, 0). No sort."""
+    first = F.struct(p.alias("p"), F.array_max(p).alias("m"), (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("i"))
+    rest = lambda o: F.struct(o["m"].alias("m"), o["i"].alias("i"), F.filter(o["p"], lambda _, k: k != o["i"]).alias("r"))
+    second = F.transform(F.transform(F.array(first), rest), lambda o: F.struct(o["m"].alias("m"), o["i"].alias("i"), F.array_max(o["r"]).alias("m2"), (F.array_position(o["r"], F.array_max(o["r"])) - 1).cast("int").alias("i2")))
+    return F.transform(second, lambda o: F.struct(
+        o["i"].alias("id1"), o["m"].alias("p1"), F.when(o["m2"].isNotNull(), o["i2"] + F.when(o["i2"] >= o["i"], 1).otherwise(0)).cast("int").alias("id2"), F.coalesce(o["m2"], F.lit(0.0)).alias("p2"),
+    ))[0]
 
 
 def top_k(p: Column, k: int) -> Column:
@@ -74,16 +77,25 @@ def probability_of(p: Column, token_id: Column) -> Column:
 
 
 def distribution_features(expert: Column, amateur: Column, target: Column) -> Column:
-    """The 14 features of one step as a struct, from the two distributions clipped and renormalised."""
-    e, a = clipped(expert), clipped(amateur)
+    """The 14 features of one step as a struct.
+
+    Both distributions are cut to the length that they have in common, clipped and renormalised once, before
+    anything else; a target id beyond it has null probabilities. Null without a common id.
+    """
+    n = F.least(F.size(expert), F.size(amateur))
+    pair = F.struct(clipped(F.slice(expert, 1, n)).alias("e"), clipped(F.slice(amateur, 1, n)).alias("a"), target.alias("t"))
+    nats = lambda p: -_sum(F.transform(p, lambda x: x * F.log(x)))
     # computed once as fields of an inner struct, then combined
-    base = F.struct(kl(expert, amateur).alias("kl"), entropy(expert).alias("he"), entropy(amateur).alias("ha"), top2(e).alias("e2"), top2(a).alias("a2"), probability_of(e, target).alias("te"), probability_of(a, target).alias("ta"))
-    return F.transform(F.array(base), lambda b: F.struct(
+    base = F.transform(F.array(pair), lambda o: F.struct(
+        _sum(F.zip_with(o["e"], o["a"], lambda x, y: x * (F.log(x) - F.log(y)))).alias("kl"), nats(o["e"]).alias("he"), nats(o["a"]).alias("ha"), top2(o["e"]).alias("e2"), top2(o["a"]).alias("a2"),
+        probability_of(o["e"], o["t"]).alias("te"), probability_of(o["a"], o["t"]).alias("ta"),
+    ))
+    return F.when((n > 0) & expert.isNotNull() & amateur.isNotNull(), F.transform(base, lambda b: F.struct(
         b["kl"].alias("kl_expert_amateur"), b["he"].alias("expert_entropy"), b["ha"].alias("amateur_entropy"), (b["ha"] - b["he"]).alias("entropy_gap"),
         b["e2"]["id1"].alias("expert_top1_id"), b["a2"]["id1"].alias("amateur_top1_id"), b["e2"]["p1"].alias("expert_top1_prob"), b["a2"]["p1"].alias("amateur_top1_prob"),
         (b["e2"]["p1"] - b["e2"]["p2"]).alias("expert_top2_margin"), (b["e2"]["id1"] == b["a2"]["id1"]).alias("top1_match"), (b["e2"]["p1"] - b["a2"]["p1"]).alias("expert_amateur_top1_prob_gap"),
         b["te"].alias("target_expert_prob"), b["ta"].alias("target_amateur_prob"), (b["te"] - b["ta"]).alias("target_prob_gap"),
-    ))[0]
+    ))[0])
 
 
 def contrastive_target(expert: Column, amateur: Column, alpha: float = 0.2) -> Column:
@@ -122,10 +134,20 @@ def filtered_size(target: Column, max_token_id_exclusive: int | None) -> Column:
 
 
 def dense_label(token_ids: Column, weights: Column, vocabulary: int) -> Column:
-    """Dense vector of the vocabulary's size; the last of equal ids wins, ids outside are ignored."""
-    n = F.size(token_ids)
-    last = lambda i: n - F.array_position(F.reverse(token_ids), i)
-    return F.transform(F.sequence(F.lit(0), F.lit(vocabulary - 1)), lambda i: F.when(F.array_contains(token_ids, i), weights[last(i).cast("int")]).otherwise(0.0))
+    """Dense vector of the vocabulary's size; the last of equal ids wins, ids outside are ignored.
+
+    One pass over the pairs makes runs of zeros between the ids in order, so the work is that of the
+    output and a sort of the few ids, not of their product.
+    """
+    pairs = F.transform(F.arrays_zip(token_ids.alias("i"), weights.alias("w")), lambda x, k: F.struct(x["i"].cast("int").alias("i"), k.alias("k"), x["w"].alias("w")))
+    inside = F.array_sort(F.filter(pairs, lambda x: (x["i"] >= 0) & (x["i"] < vocabulary)))
+    last = F.transform(F.array(inside), lambda s: F.filter(s, lambda x, k: (k == F.size(s) - 1) | (F.try_element_at(s, k + 2)["i"] != x["i"])))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    filled = F.transform(last, lambda s: F.concat(
+        F.flatten(F.transform(s, lambda x, k: F.concat(zeros(x["i"] - F.when(k == 0, 0).otherwise(F.try_element_at(s, k)["i"] + 1)), F.array(x["w"])))),
+        zeros(F.lit(vocabulary) - F.coalesce(F.try_element_at(s, F.lit(-1))["i"] + 1, F.lit(0))),
+    ))
+    return F.when(token_ids.isNotNull(), filled[0]).otherwise(zeros(F.lit(vocabulary)))
 
 
 def soft_label_loss(target: Column, logits: Column) -> Column:

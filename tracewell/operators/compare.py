@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.dist import clipped, kl
 from tracewell.operators.features import confidence_buckets, position_bucket
 
 
@@ -79,6 +80,21 @@ def shared_vocabulary(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("token", F.col("id").alias("id_a")).join(b.select("token", F.col("id").alias("id_b")), "token")
 
 
+def shared_vocabulary_kl(steps: DataFrame, a: DataFrame, b: DataFrame, key: list[str], eps: float = 1e-6) -> DataFrame:
+    """``key``, ``kl`` of two distributions over different vocabularies.
+
+    ``steps`` has ``expert`` over vocabulary ``a`` and ``amateur`` over ``b`` (id, token). Both are projected
+    onto the tokens that the vocabularies share by string, renormalised, raised to ``eps`` and renormalised
+    again. The alignment is one array of id pairs, as long as the vocabulary, which every row uses; null
+    where no token is shared or an id is outside its distribution.
+    """
+    pairs = shared_vocabulary(a, b).agg(F.array_sort(F.collect_list(F.struct("id_a", "id_b"))).alias("_ids"))
+    t = steps.join(F.broadcast(pairs))  # one row: the two vocabularies are bounded, whatever the number of steps
+    at = lambda p, f: F.transform("_ids", lambda x: F.try_element_at(F.col(p), (x[f] + 1).cast("int")))
+    norm = lambda p: clipped(clipped(p, 0.0), eps)
+    return t.select(*key, kl(norm(at("expert", "id_a")), norm(at("amateur", "id_b"))).alias("kl"))
+
+
 def vocabulary_difference(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
     """The first k tokens, in order, that only ``a`` has."""
     return a.select("token").subtract(b.select("token")).orderBy("token").limit(k)

@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 from tracewell.functions.dist import filtered_size
 from tracewell.operators.budget import common_text
 from tracewell.operators.features import BUCKETS, position_bucket
+from tracewell.operators.ranking import ranked
 from tracewell.operators.records import finite_or_null
 
 
+def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``group``, ``median``: exact medians; null and NaN are left out, a group without values has no row.
+
+    A global sort gives each value its place, so a group's values are never all in one task.
+    """
+    places = ranked(df.select(*group, finite_or_null(F.col(value)).alias("_v")).where("_v is not null"), group, [F.col("_v")], "_at", "_of")
+    middle = places.where("_at in (floor((_of + 1) / 2), floor((_of + 2) / 2))")
+    return middle.groupBy(*group).agg(F.avg("_v").alias("median"))
+
+
+def _one_median(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """One row with the median, null of nothing."""
+    return medians(df.select(value.cast("double").alias("_x")), [], "_x").agg(F.max("median").alias(name))
+
+
 def summary(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``metric``, ``n``, ``mean``, ``median`` (exact), ``min``, ``max``; null and NaN are left out, of nothing all is null."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), finite_or_null(c.cast("double")).alias("v")) for n, c in columns.items()])).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
+    base = long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return base.join(medians(long, ["metric"], "v"), "metric", "left").select("metric", "n", "mean", "median", "min", "max")
 
 
 def counters(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -38,10 +55,11 @@ def selection_summary(decided: DataFrame, size: Column) -> DataFrame:
     """One row: candidates, selected, rate (0 without any), target tokens and divergence of the selected."""
     sel = F.col("decision.selected")
     v = F.when(sel, finite_or_null(F.col("decision.score")))
-    return decided.agg(
+    base = decided.agg(
         F.count("*").alias("candidates_seen"), F.count_if(sel).alias("selected"), F.coalesce(F.try_divide(F.count_if(sel), F.count("*")), F.lit(0.0)).alias("selection_rate"),
-        F.coalesce(F.sum(F.when(sel, size)), F.lit(0)).alias("target_tokens"), F.avg(v).alias("score_mean"), F.median(v).alias("score_median"),
+        F.coalesce(F.sum(F.when(sel, size)), F.lit(0)).alias("target_tokens"), F.avg(v).alias("score_mean"),
     )
+    return base.crossJoin(_one_median(decided, v, "score_median"))  # one row each
 
 
 def milestone(decided: DataFrame, cutoff: int | None, order: str) -> DataFrame:
@@ -50,8 +68,10 @@ def milestone(decided: DataFrame, cutoff: int | None, order: str) -> DataFrame:
     v = F.when(F.col("_ok"), finite_or_null(F.col("distribution_features.kl_expert_amateur")))
     base = d.groupBy("selector").agg(
         F.count_if("_ok").alias("samples"), F.count_if(F.col("decision.selected")).alias("samples_before_vocab_filter"), F.coalesce(F.sum(F.when(F.col("_ok"), F.col("_z"))), F.lit(0)).alias("target_tokens"),
-        (F.count_if("_ok") / F.count("*")).alias("selection_rate"), F.coalesce(F.avg(v), F.lit(0.0)).alias("kl_mean"), F.coalesce(F.median(v), F.lit(0.0)).alias("kl_median"),
+        (F.count_if("_ok") / F.count("*")).alias("selection_rate"), F.coalesce(F.avg(v), F.lit(0.0)).alias("kl_mean"),
     ).withColumn("samples_dropped_by_vocab_filter", F.col("samples_before_vocab_filter") - F.col("samples"))
+    mid = medians(d.select("selector", v.alias("_v")), ["selector"], "_v").withColumnRenamed("median", "kl_median")
+    base = base.join(mid, "selector", "left").withColumn("kl_median", F.coalesce("kl_median", F.lit(0.0)))
     kept = d.where("_ok")
     for name, c in (("main_token_types", "token_features.token_category"), ("main_step_types", "step_features.step_type")):
         text = common_text(kept.select("selector", F.col(c).alias("v"), order), ["selector"], "v", order).withColumnRenamed("text", name)
@@ -63,10 +83,11 @@ def sample_summary(samples: DataFrame) -> DataFrame:
     """One row: records, prompts, mean records per prompt, divergence, target tokens."""
     v = finite_or_null(F.col("kl_divergence"))
     z = F.size("token_ids")
-    return samples.agg(
+    base = samples.agg(
         F.count("*").alias("records"), F.count_distinct("prompt_id").alias("prompts"), F.coalesce(F.try_divide(F.count("prompt_id"), F.count_distinct("prompt_id")), F.lit(0.0)).alias("records_per_prompt_mean"),
-        F.avg(v).alias("kl_mean"), F.median(v).alias("kl_median"), F.min(v).alias("kl_min"), F.max(v).alias("kl_max"), F.coalesce(F.sum(z), F.lit(0)).alias("target_tokens_total"), F.coalesce(F.avg(z), F.lit(0.0)).alias("target_tokens_mean"),
+        F.avg(v).alias("kl_mean"), F.min(v).alias("kl_min"), F.max(v).alias("kl_max"), F.coalesce(F.sum(z), F.lit(0)).alias("target_tokens_total"), F.coalesce(F.avg(z), F.lit(0.0)).alias("target_tokens_mean"),
     )
+    return base.crossJoin(_one_median(samples, v, "kl_median"))  # one row each
 
 
 def supporting_statistics(log: DataFrame, confident: float = 1.0, uncertain: float = 3.0, tail: float = 1.0) -> DataFrame:

@@ -11,10 +11,24 @@ from tracewell.functions.dist import softmax
 from tracewell.session import ensure_checkpoint_dir, table
 
 
+_LEAVES = ("distribution_features", "token_features", "step_features", "position_features")
+
+
 def candidates(s: SparkSession, d: str, *columns: str) -> DataFrame:
     """One row per candidate; with ``columns`` only these besides the key."""
     t = table(s, d, "candidate_records")
-    return (t.select("candidate_id", *columns) if columns else t).dropDuplicates(["candidate_id"])
+    t = t.select("candidate_id", *columns) if columns else t
+    flat, made = [], []
+    for f in t.schema.fields:
+        if f.name in _LEAVES:
+            # the leaves are made distinct one by one, so the scan and the shuffle carry those alone that are used;
+            # a null struct becomes one of nulls, which these features don't tell apart
+            flat += [F.col(f"{f.name}.{x.name}").alias(f"{f.name}__{x.name}") for x in f.dataType.fields]
+            made.append(F.struct(*[F.col(f"{f.name}__{x.name}").alias(x.name) for x in f.dataType.fields]).alias(f.name))
+        else:
+            flat.append(F.col(f.name))
+            made.append(F.col(f.name))
+    return t.select(*flat).dropDuplicates(["candidate_id"]).select(*made)
 
 
 def samples(s: SparkSession, d: str) -> DataFrame:
@@ -31,6 +45,11 @@ def scratch(s: SparkSession, name: str) -> str:
     return f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def cut_amateur(t: DataFrame) -> DataFrame:
+    """The amateur of every third row lacks its last four ids: vocabularies of unequal length."""
+    return t.withColumn("amateur", F.when(F.col("vec_id") % 3 == 0, F.slice("amateur", 1, F.greatest(F.size("amateur") - 4, F.lit(0)))).otherwise(F.col("amateur")))
+
+
 def distributions(s: SparkSession, d: str, k: float = 5.0, k_amateur: float = 5.0) -> DataFrame:
     """``vec_id``, ``expert``, ``amateur``, ``target``: softmax of each embedding and of the next one.
 
@@ -79,6 +98,11 @@ def step_sql(prefix: str, token: str) -> str:
       when regexp_matches({t}, '\\b(check|verify|since|because|confirm)\\b') then 'verification' else 'other' end"""
 
 
+def key_sql(x: str) -> str:
+    """SQL of a label without case, white space and punctuation."""
+    return f"nullif(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
+
+
 NUM = r"-?\$?[0-9][0-9,]*(?:\.[0-9]+)?"
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import classify, dist
+from tracewell.functions.labels import label_key
 from tracewell.operators import budget, compare, features, project, report, scorer, selectors, train
 from tracewell.operators.records import finite_or_null
-from tracewell.plans.common import c_sql, candidates, distributions, evals, gold_sql, predicted_sql, samples
+from tracewell.plans.common import c_sql, candidates, distributions, evals, gold_sql, key_sql, predicted_sql, samples
 from tracewell.plans.scalar import _CUT, FEATURE_ROWS, _KEPT
 from tracewell.session import table
 from tracewell.sources import jsonl, sinks
@@ -459,10 +460,10 @@ def jn06(s, d):
 _LEVELS = ("algebra", "geometry", "number_theory", "prealgebra", "precalculus", "intermediate_algebra", "counting_and_probability")
 
 
-@query("SET-01_union_of_subjects", f"select problem as id, problem, solution, level from math_train where level in {_LEVELS}")
+@query("SET-01_union_of_subjects", "select problem as id, problem, solution, n as level from math_train, (select unnest(" + str(list(_LEVELS)) + f") n) where {key_sql('level')} = {key_sql('n')}")
 def set01(s, d):
     t = table(s, d, "math_train")
-    return project.union_subjects({n: t.where(F.col("level") == n) for n in _LEVELS})
+    return project.union_subjects({n: t.where(label_key("level") == n.replace("_", "")) for n in _LEVELS})
 
 
 @query("SET-02_sample_overlap", "with k as (select prompt_id, step, prefix, bool_or(run_id = (select min(run_id) from selected_samples)) a, bool_or(run_id <> (select min(run_id) from selected_samples)) b from selected_samples group by all) select count(*) filter (a and b) as matching, count(*) filter (a and not b) as original_only, count(*) filter (b and not a) as selected_only, round(count(*) filter (a and b) / count(*) filter (a), 9) as original_overlap_rate, round(count(*) filter (a and b) / count(*) filter (b), 9) as selected_overlap_rate from k")

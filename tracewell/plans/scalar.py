@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import classify, dist
-from tracewell.operators import contracts, features, project
+from tracewell.functions.labels import label_key
+from tracewell.operators import compare, contracts, features, project
 from tracewell.operators.records import finite_or_null
-from tracewell.plans.common import DIST, c_sql, candidates, distributions, evals, gold_sql, norm_sql, predicted_sql, samples, scratch, step_sql, strip_sql, token_sql
+from tracewell.plans.common import DIST, c_sql, candidates, cut_amateur, distributions, evals, gold_sql, key_sql, norm_sql, predicted_sql, samples, scratch, step_sql, strip_sql, token_sql
 from tracewell.session import table
 from tracewell.sources import jsonl, sinks
 from tracewell.streaming import ledger
@@ -180,9 +181,9 @@ def prj01(s, d):
     return project.word_problems(table(s, d, "gsm8k_train"))
 
 
-@query("PRJ-02_subject_problems", "select problem as id, problem, solution, 'algebra' as level from math_train where level = 'algebra'")
+@query("PRJ-02_subject_problems", f"select problem as id, problem, solution, 'algebra' as level from math_train where {key_sql('level')} = 'algebra'")
 def prj02(s, d):
-    return project.subject_problems(table(s, d, "math_train").where("level = 'algebra'"), "algebra")
+    return project.subject_problems(table(s, d, "math_train").where(label_key("level") == "algebra"), "algebra")
 
 
 @query("PRJ-03_assembled_candidates", f"""select category, bucket, fixed, count(*) as n from (select {token_sql('t')} category, fixed, case when p < 0.33 then 'early' when p < 0.66 then 'middle' else 'late' end bucket from (
@@ -317,15 +318,31 @@ def arr04(s, d):
     return t.select("vec_id", F.col("t.id1").cast("long").alias("id1"), F.round("t.p1", 9).alias("p1"), F.col("t.id2").cast("long").alias("id2"), F.round("t.p2", 9).alias("p2"))
 
 
-@query("ARR-05_distribution_features", f"""with {_CLIP}, a as (select vec_id, sum(pe * (ln(pe) - ln(pa))) kl, -sum(pe * ln(pe)) he, -sum(pa * ln(pa)) ha, arg_max(i, pe) e1, arg_max(i, pa) a1, max(pe) pe1, max(pa) pa1, max(pe) filter (i = vec_id % 64) te, max(pa) filter (i = vec_id % 64) ta, list_sort(list(pe), 'DESC')[2] e2 from c group by vec_id)
-  select vec_id, round(kl, 8) as kl, round(ha - he, 8) as gap, cast(e1 as bigint) as e1, cast(a1 as bigint) as a1, round(pe1 - e2, 8) as margin, e1 = a1 as top1_match, round(te - ta, 8) as target_gap from a""")
+def _features_sql(k: str, ka: str) -> str:
+    """SQL of all 14 features; the amateur lacks its last four ids in every third row."""
+    return f"""with n as (select count(*) n from embeddings), e as (select vec_id, len(embedding) z, unnest(range(len(embedding))) i, unnest(embedding)::double x from embeddings),
+      sm as (select vec_id, z, i, exp({k}*x)/sum(exp({k}*x)) over (partition by vec_id) p, exp({ka}*x)/sum(exp({ka}*x)) over (partition by vec_id) q from e),
+      j as (select a.vec_id, a.i, a.p pe, b.q pa from sm a, n, sm b where b.vec_id = (a.vec_id + 1) % n.n and a.i = b.i and (a.vec_id % 3 <> 0 or a.i < b.z - 4)),
+      c as (select vec_id, i, greatest(pe, 1e-12) / sum(greatest(pe, 1e-12)) over (partition by vec_id) pe, greatest(pa, 1e-12) / sum(greatest(pa, 1e-12)) over (partition by vec_id) pa from j),
+      a as (select vec_id, sum(pe * (ln(pe) - ln(pa))) kl, -sum(pe * ln(pe)) he, -sum(pa * ln(pa)) ha, arg_max(i, pe) e1, arg_max(i, pa) a1, max(pe) pe1, max(pa) pa1, max(pe) filter (i = vec_id % 64) te, max(pa) filter (i = vec_id % 64) ta, list_sort(list(pe), 'DESC')[2] e2 from c group by vec_id)
+      select vec_id, round(kl, 8) as kl_expert_amateur, round(he, 8) as expert_entropy, round(ha, 8) as amateur_entropy, round(ha - he, 8) as entropy_gap, cast(e1 as bigint) as expert_top1_id, cast(a1 as bigint) as amateur_top1_id, round(pe1, 8) as expert_top1_prob, round(pa1, 8) as amateur_top1_prob,
+        round(pe1 - e2, 8) as expert_top2_margin, e1 = a1 as top1_match, round(pe1 - pa1, 8) as expert_amateur_top1_prob_gap, round(te, 8) as target_expert_prob, round(ta, 8) as target_amateur_prob, round(te - ta, 8) as target_prob_gap from a"""
+
+
+def _features(s, d, k, ka):
+    t = cut_amateur(distributions(s, d, k, ka)).select("vec_id", dist.distribution_features(F.col("expert"), F.col("amateur"), F.col("target")).alias("f")).select("vec_id", "f.*")
+    return t.select(*[F.round(c, 8).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in t.dtypes])
+
+
+@query("ARR-05_distribution_features", _features_sql("5.0", "5.0"))
 def arr05(s, d):
-    t = distributions(s, d).select("vec_id", dist.distribution_features(F.col("expert"), F.col("amateur"), F.col("target")).alias("f"))
-    return t.select("vec_id", F.round("f.kl_expert_amateur", 8).alias("kl"), F.round("f.entropy_gap", 8).alias("gap"), F.col("f.expert_top1_id").cast("long").alias("e1"), F.col("f.amateur_top1_id").cast("long").alias("a1"), F.round("f.expert_top2_margin", 8).alias("margin"), "f.top1_match", F.round("f.target_prob_gap", 8).alias("target_gap"))
+    return _features(s, d, 5.0, 5.0)
 
 
-QUERIES["ARR-06_distribution_features_double"] = lambda s, d: distributions(s, d, 8.0, 5.0).select("vec_id", F.round(dist.kl(F.col("expert"), F.col("amateur")), 8).alias("kl"))
-SQL["ARR-06_distribution_features_double"] = "with n as (select count(*) n from embeddings), e as (select vec_id, unnest(range(len(embedding))) i, unnest(embedding)::double x from embeddings), sm as (select vec_id, i, exp(8.0*x)/sum(exp(8.0*x)) over (partition by vec_id) p, exp(5.0*x)/sum(exp(5.0*x)) over (partition by vec_id) q from e) select a.vec_id, round(sum(a.p * (ln(a.p) - ln(b.q))), 8) as kl from sm a, n, sm b where b.vec_id = (a.vec_id + 1) % n.n and a.i = b.i group by a.vec_id"
+@query("ARR-06_distribution_features_double", _features_sql("8.0", "5.0"))
+def arr06(s, d):
+    """The same from logits at another temperature of the expert."""
+    return _features(s, d, 8.0, 5.0)
 
 
 @query("ARR-07_kl_additive", f"with {DIST} select vec_id, round(sum((pe + 1e-12) * (ln(pe + 1e-12) - ln(pa + 1e-12))), 9) as kl from j group by vec_id")
@@ -338,12 +355,19 @@ def arr08(s, d):
     return distributions(s, d).select("vec_id", F.round(dist.kl(F.col("expert"), F.col("amateur"), "raw"), 9).alias("kl"))
 
 
-@query("ARR-09_kl_shared_vocabulary", f"with {DIST}, c as (select vec_id, pe / sum(pe) over (partition by vec_id) pe, pa / sum(pa) over (partition by vec_id) pa from j where i % 3 <> 0), k as (select vec_id, greatest(pe, 1e-6) pe, greatest(pa, 1e-6) pa from c), m as (select vec_id, pe / sum(pe) over (partition by vec_id) pe, pa / sum(pa) over (partition by vec_id) pa from k) select vec_id, round(sum(pe * (ln(pe) - ln(pa))), 8) as kl from m group by vec_id")
+_OTHER_ID = "(t.i * 29 + 7) % 64"
+
+
+@query("ARR-09_kl_shared_vocabulary", f"""with {DIST}, t as (select distinct i from e), v as (select i id_a, {_OTHER_ID} id_b from t where i % 5 <> 2), x as (select e.vec_id, v.id_a, e.p pe from sm e join v on e.i = v.id_a),
+  y as (select (a.vec_id - 1 + n.n) % n.n vec_id, v.id_a, a.p pa from sm a, n, v where v.id_b = a.i), z as (select x.vec_id, pe / sum(pe) over (partition by x.vec_id) pe, pa / sum(pa) over (partition by x.vec_id) pa from x join y on x.vec_id = y.vec_id and x.id_a = y.id_a),
+  k as (select vec_id, greatest(pe, 1e-6) pe, greatest(pa, 1e-6) pa from z), m as (select vec_id, pe / sum(pe) over (partition by vec_id) pe, pa / sum(pa) over (partition by vec_id) pa from k) select vec_id, round(sum(pe * (ln(pe) - ln(pa))), 8) as kl from m group by vec_id""")
 def arr09(s, d):
-    """Two vocabularies share the ids that three doesn't divide; both distributions are projected onto these."""
-    shared = lambda p: F.filter(p, lambda _, i: i % 3 != 0)
-    norm = lambda p: dist.clipped(dist.clipped(p, 0.0), 1e-6)
-    return distributions(s, d).select("vec_id", F.round(dist.kl(norm(shared(F.col("expert"))), norm(shared(F.col("amateur")))), 8).alias("kl"))
+    """Two vocabularies give the same token strings different ids, and each has strings of its own."""
+    t = distributions(s, d)
+    ids = t.select(F.explode(F.sequence(F.lit(0), F.size("expert") - 1)).alias("id")).distinct()
+    a = ids.select("id", F.concat(F.lit("tok"), F.col("id").cast("string")).alias("token"))
+    b = ids.where("id % 5 <> 2").select(F.expr("(id * 29 + 7) % 64").alias("id"), F.concat(F.lit("tok"), F.col("id").cast("string")).alias("token"))
+    return compare.shared_vocabulary_kl(t, a, b, ["vec_id"]).select("vec_id", F.round("kl", 8).alias("kl"))
 
 
 @query("ARR-10_contrastive_target", f"with {DIST}, m as (select *, max(pe) over (partition by vec_id) t from j), k as (select vec_id, i, ln(pe + 1e-12) - ln(pa + 1e-12) x from m where pe >= 0.2 * t) select vec_id, cast(i as bigint) as id, round(exp(x) / sum(exp(x)) over (partition by vec_id), 8) as w from k")
