@@ -38,7 +38,36 @@ def test_strata_share_the_cap(spark):
     rows = [(i, "p", float(i), "big") for i in range(40)] + [(100 + i, "p", 0.0, "small") for i in range(2)] + [(200 + i, "p", 0.0, "mid") for i in range(9)]
     df = spark.createDataFrame(rows, "id long, c string, q double, t string")
     kept = Counter(r["t"] for r in capping.cap_contributors(df, "id", ["c"], "q", 16, "t").join(df, "id").collect())
-    assert kept == {"big": 7, "small": 2, "mid": 7}
+    assert kept == {"big": 12, "small": 1, "mid": 3}
+
+
+def test_quotas_against_a_loop(spark):
+    random.seed(12)
+    rows, want = [], {}
+    for c in range(60):
+        sizes = {f"s{k}": random.randrange(1, random.choice([3, 30, 900])) for k in range(random.randrange(1, 7))}
+        weights = {k: random.choice([1, 2, 7, n]) for k, n in sizes.items()}
+        rows += [(c, k, n, weights[k]) for k, n in sizes.items()]
+        quota, left, live = {}, 16, dict(weights)
+        while live:
+            rest = sum(live.values())
+            full = [k for k in live if sizes[k] * rest <= left * live[k]]
+            if not full:
+                parts = {k: left * w // rest for k, w in live.items()}
+                for k in sorted(live, key=lambda k: (-(left * live[k] % rest), -sizes[k], k))[: left - sum(parts.values())]:
+                    parts[k] += 1
+                quota |= parts
+                break
+            for k in full:
+                quota[k] = sizes[k]
+                left -= sizes[k]
+                del live[k]
+        want |= {(c, k): q for k, q in quota.items()}
+    df = spark.createDataFrame(rows, "c long, stratum string, n long, w long")
+    got = {(r["c"], r["stratum"]): r["quota"] for r in capping.stratum_quotas(df, ["c"], 16, F.col("w")).collect()}
+    assert got == want
+    by_size = {(r["c"], r["stratum"]): r["quota"] for r in capping.stratum_quotas(df, ["c"], 16).collect()}
+    assert all(sum(q for (c, _), q in by_size.items() if c == k) == min(16, sum(n for c, _, n, _ in rows if c == k)) for k in range(60))
 
 
 def test_cap_of_an_empty_table(spark):
@@ -177,10 +206,32 @@ def test_target_sample(spark):
     assert ids(report.where("short"), "token_category", "step_type") == [("equals", "setup"), ("number", "final_answer")]
     drawn = target_sample.draw_sample(cells, report)
     n = Counter(r["cell"] for r in drawn.collect())
-    assert abs(n["word/setup"] - 50) <= 1 and abs(n["number/setup"] - 30) <= 1 and n["number/finalanswer"] == 1
+    # one row of the third cell, none of the fourth: the rest of the 100 goes to the first two, five to three
+    assert abs(n["word/setup"] - 99 * 5 / 8) <= 1 and abs(n["number/setup"] - 99 * 3 / 8) <= 1 and n["number/finalanswer"] == 1
     assert drawn.select("candidate_id").distinct().count() == sum(n.values())
 
 
+def test_systematic_sample_against_a_loop(spark):
+    """Short cells give all rows, their shortfall goes to the others, and crossings are exact."""
+    random.seed(2)
+    available = {"a": 3, "b": 400, "c": 90, "d": 0, "e": 7}
+    share = {"a": 0.2, "b": 0.3, "c": 0.3, "d": 0.1, "e": 0.1}
+    report = spark.createDataFrame([(c, n, 0, share[c], 150) for c, n in available.items()], "cell string, available long, min_rows long, target_share double, size long")
+    rows = spark.createDataFrame([(i * 10 + k, c) for k, (c, n) in enumerate(available.items()) for i in range(n)], "candidate_id long, cell string")
+    got = Counter(r["cell"] for r in target_sample.draw_sample(rows, report).collect())
+    left, live, want = 150.0, {c: s for c, s in share.items() if available[c]}, {}
+    while any(available[c] * sum(live.values()) <= left * s for c, s in live.items()):
+        for c in [c for c, s in live.items() if available[c] * sum(live.values()) <= left * s][:1]:
+            want[c] = available[c]
+            left -= available[c]
+            del live[c]
+    want |= {c: left * s / sum(live.values()) for c, s in live.items()}
+    assert abs(sum(got.values()) - 150) <= 1 and all(abs(got[c] - x) <= 1 for c, x in want.items())
+    least = report.withColumn("min_rows", F.when(F.col("cell") == "e", 7).otherwise(5).cast("long")).withColumn("target_share", F.when(F.col("cell") == "a", 0.0).otherwise(F.col("target_share")))
+    got = Counter(r["cell"] for r in target_sample.draw_sample(rows, least).collect())
+    assert got["a"] == 3 and got["e"] == 7
+
+
 # 5: splits
 def test_prompt_pairs(spark):
     rows = [("gsm8k-train-7", "Q one"), ("GSM8K:train:0007", None), ("x-1", "q  ONE"), ("q one", "zz"), ("other", " "), (None, "q one"), ("", "q"), ("solo", None), ("b", ""), ("late", "ZZ")]
@@ -192,16 +243,20 @@ def test_prompt_pairs(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_quotas(seed):
     random.seed(seed)
-    bundles = [(z, lab, random.randrange(1, 40)) for z in (1, 2, 3, 7, 50) for lab in ("a", "b")] + [(900, "a", 1)]
+    bundles = [(((lab, z),), random.randrange(1, 40)) for z in (1, 2, 3, 7, 50) for lab in ("a", "b")] + [((("a", 3), ("b", 4)), 5), ((("a", 850), ("b", 50)), 1)]
     shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
     got = splits.settle_quotas(bundles, shares)
-    rows = Counter()
-    for z, lab, n in bundles:
-        assert sum(got[z, lab].values()) == n and min(got[z, lab].values()) >= 0
-        for s, x in got[z, lab].items():
-            rows[s] += x * z
-    total = sum(z * n for z, _, n in bundles)
+    rows, by_label, of = Counter(), Counter(), Counter()
+    for p, n in bundles:
+        assert sum(got[p].values()) == n and min(got[p].values()) >= 0
+        for lab, c in p:
+            of[lab] += c * n
+            for s, x in got[p].items():
+                rows[s] += x * c
+                by_label[lab, s] += x * c
+    total = sum(of.values())
     assert all(abs(rows[s] - shares[s] * total) <= 3 for s in shares)
+    assert all(abs(by_label[lab, s] - shares[s] * of[lab]) <= 60 for lab in of for s in shares)
 
 
 def test_splits_keep_prompts_together(spark):
@@ -272,6 +327,14 @@ def test_encoding_of_texts(spark, public):
     assert sizes == {i: len(got[i]) for i in got}
 
 
+def test_vocabularies_are_kept_apart():
+    enc = lambda pairs: b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in pairs)
+    common = [(bytes([i]), i) for i in range(256)]
+    one, two = tokens.vocabulary(enc([*common, (b"ab", 256)])), tokens.vocabulary(enc([*common, (b"bc", 256)]))
+    both = [[int(x) for ids in tokens.encode_batch(v, ["abc"])[0] for x in ids] for v in (one, two)]
+    assert both == [[256, 99], [97, 256]]
+
+
 # 9: mixing
 @pytest.mark.parametrize("seed", range(6))
 def test_budget_fit(seed):
@@ -282,8 +345,24 @@ def test_budget_fit(seed):
         take = mixing.fit_budget(budget, lengths)
         size = sum(z * k for z, k in take.items())
         assert all(0 <= k <= lengths[z] for z, k in take.items()) and size <= budget
-        if own // 4 < budget < own * 3 // 4:
-            assert size == budget
+        reach = 1
+        for z, n in lengths.items():
+            for _ in range(n):
+                reach |= reach << z
+        assert size == (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_budget_fit_without_exact_sums():
+    random.seed(7)
+    for _ in range(300):
+        lengths = {random.randrange(1, random.choice([9, 60, 400])): random.randrange(1, 7) for _ in range(random.randrange(1, 6))}
+        own, reach = sum(z * n for z, n in lengths.items()), 1
+        for z, n in lengths.items():
+            for _ in range(n):
+                reach |= reach << z
+        budget = random.randrange(0, own + 2)
+        take = mixing.fit_budget(budget, lengths)
+        assert sum(z * k for z, k in take.items()) == (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
 
 
 def test_mixture(spark):
@@ -359,14 +438,14 @@ def test_hot_keys_are_looked_up_whole(spark):
 # the queries
 @pytest.fixture(scope="module")
 def duck():
-    from tests_oracle import connect
+    from llm_oracle import connect
 
     return connect()
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, duck, name):
-    from tests_oracle import same
+    from llm_oracle import same
 
     same(duck, queries.SQL[name], queries.QUERIES[name](spark, DATA))
 

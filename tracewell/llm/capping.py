@@ -27,28 +27,31 @@ def _first_ranks(df: DataFrame, by: Sequence[str], order: Sequence[Column], limi
     return ranked(df, by, order, "_rank", "_size").where(F.col("_rank") <= limit).drop("_size")
 
 
-def stratum_quotas(counts: DataFrame, contributor: Sequence[str], cap: int) -> DataFrame:
+def stratum_quotas(counts: DataFrame, contributor: Sequence[str], cap: int, weight: Column | None = None) -> DataFrame:
     """``quota`` per contributor and stratum from their counts ``n``.
 
-    The cap is split evenly over a contributor's strata by largest remainder; a stratum with fewer
-    rows than its part keeps them all and its spare slots go to the others, again evenly. Remainders
-    go to the largest strata, ties to the least stratum name.
+    The cap is apportioned over a contributor's strata by largest remainder, in proportion to ``weight``
+    (a positive whole number; the stratum's count by default). A stratum with fewer rows than its part
+    keeps them all, and its spare slots go to the others in the same proportion. Equal remainders go to
+    the larger stratum, then to the lesser name. The arithmetic is exact.
     """
+    exact = "decimal(38,0)"
     by = [F.col(c) for c in contributor]
-    rising = Window.partitionBy(*by).orderBy("n", F.col("stratum").desc())
-    whole = Window.partitionBy(*by)
-    c = (
-        counts.withColumn("_i", F.row_number().over(rising)).withColumn("_s", F.count("*").over(whole))
-        .withColumn("_pre", F.coalesce(F.sum("n").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_full", F.col("n") * (F.col("_s") - F.col("_i") + 1) <= F.lit(cap) - F.col("_pre"))
-        # full strata form a prefix: once one is cut, all larger ones are
-        .withColumn("_full", F.min("_full").over(rising))
-    )
-    c = c.withColumn("_left", F.lit(cap) - F.coalesce(F.sum(F.when(F.col("_full"), F.col("n"))).over(whole), F.lit(0)))
-    c = c.withColumn("_k", F.count(F.when(~F.col("_full"), 1)).over(whole))
-    part = F.floor(F.col("_left") / F.greatest("_k", F.lit(1)))
-    extra = F.when(F.col("_s") - F.col("_i") < F.col("_left") - part * F.col("_k"), 1).otherwise(0)
-    return c.select(*contributor, "stratum", "n", F.when(F.col("_full"), F.col("n")).otherwise(F.least(part + extra, F.col("n"))).cast("long").alias("quota"))
+    c = counts.withColumn("_w", (F.col("n") if weight is None else weight).cast("decimal(18,0)")).withColumn("_m", F.col("n").cast("decimal(18,0)"))
+    rising = Window.partitionBy(*by).orderBy(F.col("n") / F.col("_w"), F.col("n"), F.col("stratum").desc())
+    whole, before = Window.partitionBy(*by), rising.rowsBetween(Window.unboundedPreceding, -1)
+    sum_of = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0)).cast("decimal(19,0)")
+    left, rest = F.lit(cap).cast("decimal(19,0)") - sum_of("_m", before), sum_of("_w", whole) - sum_of("_w", before)
+    c = c.withColumn("_full", (F.col("_m") * rest).cast(exact) <= (left * F.col("_w")).cast(exact))
+    # full strata form a prefix: once one is cut, all with more rows for their weight are
+    c = c.withColumn("_full", F.min("_full").over(rising))
+    cut_off = F.when(~F.col("_full"), F.col("_w"))
+    c = c.withColumn("_left", F.greatest(F.lit(0), F.lit(cap) - F.coalesce(F.sum(F.when(F.col("_full"), F.col("n"))).over(whole), F.lit(0))).cast("decimal(19,0)")).withColumn("_rest", sum_of(cut_off, whole))
+    c = c.withColumn("_part", F.when(~F.col("_full"), F.expr("(_left * _w) div _rest")).otherwise(F.lit(0)))
+    c = c.withColumn("_over", F.when(~F.col("_full"), ((F.col("_left") * F.col("_w")).cast(exact) - F.col("_part") * F.col("_rest").cast("decimal(19,0)")).cast(exact)))
+    c = c.withColumn("_more", F.col("_left") - F.sum("_part").over(whole))
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_over").desc_nulls_last(), F.col("n").desc(), F.col("stratum")))
+    return c.select(*contributor, "stratum", "n", F.when(F.col("_full"), F.col("n")).otherwise(F.col("_part") + F.when(turn <= F.col("_more"), 1).otherwise(0)).cast("long").alias("quota"))
 
 
 def cap_contributors(df: DataFrame, key: str, contributor: Sequence[str], quality: str, cap: int, stratum: str | None = None) -> DataFrame:

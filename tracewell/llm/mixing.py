@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,58 @@ def length_counts(sized: DataFrame) -> list[tuple[str | None, int, int]]:
     return [(r["source"], r["tokens"], r["n"]) for r in sized.groupBy("source", "tokens").agg(F.count("*").alias("n")).collect()]
 
 
-def fit_budget(budget: int, lengths: dict[int, int]) -> dict[int, int]:
-    """How many documents of each length come nearest to ``budget`` from below, exactly if possible.
+def _parts(n: int) -> list[int]:
+    """Binary parts whose sums are all numbers from 0 to ``n``."""
+    out, k = [], 1
+    while n > 0:
+        out.append(min(k, n))
+        n, k = n - out[-1], k * 2
+    return out
+
+
+def _exchange(take: dict[int, int], lengths: dict[int, int], gap: int, most: int) -> int:
+    """Bring the sum of ``take`` nearer by up to ``gap``, changing each length by at most ``most`` documents; returns the gap left.
+
+    A bounded knapsack over exact sums: bit sets of the reachable changes, within ``most`` times the greatest
+    length either way, with documents given back or added in binary parts.
+    """
+    zero = max(most * max(lengths), gap)
+    mask, goal, reach, trail = (1 << (2 * zero + 1)) - 1, zero + gap, 1 << zero, []
+    for z in sorted(lengths, key=lambda z: (-min(take[z], lengths[z] - take[z]), z)):
+        trail.append((z, reach))
+        for k in _parts(min(take[z], most)):
+            reach |= reach >> (z * k)
+        for k in _parts(min(lengths[z] - take[z], most)):
+            reach |= (reach << (z * k)) & mask
+        if reach >> goal & 1:
+            break
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    left = goal - at
+    for z, before in reversed(trail):
+        low, high = -min(take[z], most), min(lengths[z] - take[z], most)
+        x = next(x for x in sorted(range(low, high + 1), key=abs) if 0 <= at - z * x <= 2 * zero and before >> (at - z * x) & 1)
+        take[z] += x
+        at -= z * x
+    return left
+
 
-    Every length first gives the whole part of its proportional number, then the largest remainders
-    fill up. Some of these are taken back, and a bounded knapsack over exact sums fills the small
-    rest: a bit set of reachable sums, lengths taken in binary parts.
+def fit_budget(budget: int, lengths: dict[int, int]) -> dict[int, int]:
+    """How many documents of each length come nearest to ``budget`` from below; no choice comes nearer.
+
+    Every length first gives the whole part of its proportional number, then the largest remainders fill up,
+    and knapsacks over ever larger changes close the gap. No sum can beat the greatest multiple of the
+    lengths' common divisor, so reaching that is a proof. If no change of moderate size does, the lengths are
+    filled from the least up, which is a vertex of the relaxed problem, and one knapsack over all changes of
+    2 x (greatest length) + 2 documents is exact, as an optimum lies that near to any such vertex
+    (the proximity theorem for integer programs with one row).
     """
     lengths = {z: n for z, n in lengths.items() if z > 0 and n > 0}
     own = sum(z * n for z, n in lengths.items())
     if budget >= own:
         return dict(lengths)
-    if budget <= 0:
+    if budget <= 0 or not lengths:
         return {}
+    budget -= budget % math.gcd(*lengths)
     take = {z: n * budget // own for z, n in lengths.items()}
     rest = budget - sum(z * k for z, k in take.items())
     for z in sorted(lengths, key=lambda z: (-(lengths[z] * budget % own), z)):
@@ -49,26 +90,19 @@ def fit_budget(budget: int, lengths: dict[int, int]) -> dict[int, int]:
         k = min(rest // z, lengths[z] - take[z])
         take[z] += k
         rest -= z * k
-    # room for the knapsack: a few documents of the commonest lengths are given back
-    for z in sorted(lengths, key=lambda z: (-take[z], z))[:16]:
-        k = min(take[z], 4)
-        take[z] -= k
-        rest += z * k
-    reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
-    for z in sorted((z for z in lengths if lengths[z] > take[z] and z <= rest), key=lambda z: (-(lengths[z] - take[z]), z)):
-        free, part = min(lengths[z] - take[z], rest // z), 1
-        while free > 0:
-            k = min(part, free)
-            steps.append((z, k, reach))
-            reach |= (reach << (z * k)) & mask
-            free, part = free - k, part * 2
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for z, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[z] += k
-            at -= z * k
+    near = 2 * max(lengths) + 2
+    for most in (1, 4, 16, 64):
+        if rest and most < near:
+            rest = _exchange(take, lengths, rest, most)
+    if rest:
+        vertex, left = dict.fromkeys(lengths, 0), budget
+        for z in sorted(lengths):
+            vertex[z] = min(lengths[z], left // z)
+            left -= z * vertex[z]
+            if vertex[z] < lengths[z]:
+                break
+        if _exchange(vertex, lengths, left, near) < rest:
+            take = vertex
     return {z: k for z, k in take.items() if k}
 
 

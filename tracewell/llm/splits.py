@@ -1,8 +1,8 @@
 """Problem 5: splits that keep related records together.
 
-Prompts are connected components of ids and logged questions. Components of the same size and
-label profile form a bundle; a minimum-cost flow settles how many components of each bundle go to
-each split; members are taken in order of a hash.
+Prompts are connected components of ids and logged questions. Components of the same label profile
+(and so of the same size) form a bundle; minimum-cost flows settle how many components of each bundle
+go to each split; members are taken in order of a hash.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.labels import label_key, prompt_key, text_key
-from tracewell.operators.components import connected_components
+from tracewell.llm.components import connected_components
+from tracewell.llm.lookup import MOST_NARROW, looked_up
 from tracewell.operators.ranking import ranked
 from tracewell.operators.records import one_per_key
 from tracewell.session import cut
@@ -105,102 +106,143 @@ class MinCostFlow:
         return sent
 
 
-def settle_quotas(bundles: list[tuple[int, str, int]], shares: dict[str, float]) -> dict[tuple[int, str], dict[str, int]]:
-    """Components per bundle (size, label, count) and split.
+#: Marginal costs of a split are exact for so many components of one size, and in so many equal steps beyond.
+STEPS = 1024
 
-    Sizes are settled from large to small. Every bundle first gives each split the whole part of
-    its share; what is left over is placed by a flow label -> split -> sink whose unit costs are the
-    growth of the squared deviation of a split from its quota, in rows, and of a label within a split.
+#: Rows of each label in a component, in order of label.
+Profile = tuple[tuple[str, int], ...]
+
+
+def settle_quotas(bundles: list[tuple[Profile, int]], shares: dict[str, float]) -> dict[Profile, dict[str, int]]:
+    """Components per bundle (label profile, count) and split.
+
+    The relaxed allocation gives each split its share of every bundle, or of what its labels still lack there
+    once larger components are placed, which meets all quotas exactly; its whole parts stand, as far as a split
+    still has room. What is left over is placed from the largest size to
+    the least, all bundles of a size by one flow bundle -> split -> sink. Its costs are the growth of the
+    squared deviation of a split from its quota, in rows, and, a hundredth of it, of each label within a
+    split, so the rounding of one size makes good for that of the sizes before.
     """
     names = sorted(shares)
-    total = sum(z * n for z, _, n in bundles)
+    size = {p: sum(c for _, c in p) for p, _ in bundles}
+    total = sum(size[p] * n for p, n in bundles)
     of_label: dict[str, int] = defaultdict(int)
-    for z, lab, n in bundles:
-        of_label[lab] += z * n
+    for p, n in bundles:
+        for lab, c in p:
+            of_label[lab] += c * n
     quota = {s: shares[s] * total for s in names}
     label_quota = {(lab, s): shares[s] * r for lab, r in of_label.items() for s in names}
     have: dict[str, float] = dict.fromkeys(names, 0.0)
     label_have: dict[tuple[str, str], float] = dict.fromkeys(label_quota, 0.0)
-    out: dict[tuple[int, str], dict[str, int]] = {}
-    by_size: dict[int, list[tuple[str, int]]] = defaultdict(list)
-    for z, lab, n in bundles:
-        by_size[z].append((lab, n))
+    out: dict[Profile, dict[str, int]] = {}
+
+    def give(p: Profile, s: str, n: int) -> None:
+        have[s] += n * size[p]
+        for lab, c in p:
+            label_have[lab, s] += n * c
+
+    by_size: dict[int, list[tuple[Profile, int]]] = defaultdict(list)
+    for p, n in bundles:
+        by_size[size[p]].append((p, n))
     for z in sorted(by_size, reverse=True):
-        left: dict[str, int] = {}
-        for lab, n in sorted(by_size[z]):
-            x = {s: math.floor(n * shares[s] + 1e-9) for s in names}
-            # whole parts only where the split still has room for them
+        left: dict[Profile, int] = {}
+        for p, n in sorted(by_size[z]):
+            out[p] = {}
+            # the share of a split is what its labels still lack there, which is the target share at first
+            lack = {(lab, s): max(0.0, label_quota[lab, s] - label_have[lab, s]) for lab, _ in p for s in names}
+            of = {lab: sum(lack[lab, s] for s in names) or 1.0 for lab, _ in p}
+            part = {s: sum(c * lack[lab, s] / of[lab] for lab, c in p) / z for s in names}
             for s in names:
-                x[s] = max(0, min(x[s], math.floor((quota[s] - have[s]) / z + 1e-9)))
-                have[s] += x[s] * z
-                label_have[lab, s] += x[s] * z
-            out[z, lab], left[lab] = x, n - sum(x.values())
+                whole = math.floor(n * part[s] + 1e-9)
+                out[p][s] = max(0, min(whole, math.floor((quota[s] - have[s]) / z + 1e-9)))
+                give(p, s, out[p][s])
+            left[p] = n - sum(out[p].values())
         units = sum(left.values())
         if not units:
             continue
-        labs = sorted(left)
-        flow = MinCostFlow(2 + len(labs) + len(names))
+        open_ = [p for p in sorted(left) if left[p]]
+        flow = MinCostFlow(2 + len(open_) + len(names))
         arcs = {}
-        steps = min(units, 64)
-        for i, lab in enumerate(labs):
-            flow.arc(0, 2 + i, left[lab], 0)
+        for i, p in enumerate(open_):
+            flow.arc(0, 2 + i, left[p], 0)
             for j, s in enumerate(names):
-                at = label_have[lab, s] - label_quota[lab, s]
-                arcs[lab, s] = flow.arc(2 + i, 2 + len(labs) + j, left[lab], 0.01 * (2 * at + z) / max(1, total))
+                cost = sum(c * (2 * (label_have[lab, s] - label_quota[lab, s]) + c) for lab, c in p)
+                arcs[p, s] = flow.arc(2 + i, 2 + len(open_) + j, left[p], 0.01 * cost / max(1, total))
+        steps = min(units, STEPS)
         for j, s in enumerate(names):
             # marginal costs of a convex deviation, as parallel arcs of growing cost
             done = 0
             for k in range(steps):
-                size = (units - done) // (steps - k) if k < steps - 1 else units - done
-                at = have[s] + done * z - quota[s]
-                flow.arc(2 + len(labs) + j, 1, max(size, 1), (2 * at + size * z) / max(1, total))
-                done += size
+                n = (units - done) // (steps - k)
+                flow.arc(2 + len(open_) + j, 1, n, z * (2 * (have[s] + done * z - quota[s]) + n * z) / max(1, total))
+                done += n
         flow.run(0, 1, units)
-        for (lab, s), e in arcs.items():
-            n = flow.cap[e ^ 1]
-            out[z, lab][s] += n
-            have[s] += n * z
-            label_have[lab, s] += n * z
+        for (p, s), e in arcs.items():
+            out[p][s] += flow.cap[e ^ 1]
+            give(p, s, flow.cap[e ^ 1])
     return out
 
 
-def _row_node() -> Column:
-    return F.coalesce(F.col("node"), text_key(F.col("question")), F.concat(F.lit("row:"), F.col("candidate_id").cast("string")), F.lit("row:"))
+def _raw_key(c: Column) -> Column:
+    """128 bits of hash of a value as it stands; null for null."""
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(17), c).alias("b")))
+
+
+def placed_rows(records: DataFrame) -> DataFrame:
+    """``candidate_id``, ``label``, ``component`` of each distinct candidate, materialised.
+
+    A row without an id goes by its question, and one without either is a prompt of its own. Ids and questions
+    are read once per distinct pair; rows carry the hashes of theirs.
+    """
+    pairs = _logged_pairs(records)
+    seen = cut(pairs.select(_raw_key(F.col("prompt_id")).alias("p"), _raw_key(F.col("question")).alias("q"), prompt_key(F.col("prompt_id")).alias("u"), text_key(F.col("question")).alias("v")))
+    found = connected_components(seen.select("u", "v"))
+
+    def part_of(raw: str, node: str, name: str) -> DataFrame:
+        nodes = seen.where(f"{raw} is not null and {node} is not null").groupBy(raw).agg(F.min(node).alias("node"))
+        return cut(nodes.join(found, "node", "left").select(raw, F.coalesce("component", "node").alias(name)))
+
+    rows = one_per_key(records.select("candidate_id", _raw_key(F.col("prompt_id")).alias("p"), _raw_key(F.col("question")).alias("q"), "dataset"), "candidate_id")
+    rows = cut(rows.select("candidate_id", "p", "q", F.coalesce(F.regexp_replace(label_key("dataset"), "(train|test|validation|valid|val|dev)$", ""), F.lit("")).alias("label")))
+    by_id, by_question = part_of("p", "u", "component"), part_of("q", "v", "component")
+    cols = ["candidate_id", "label", "component"]
+    known = looked_up(rows, by_id, "p").select(*cols)
+    # ids that are null or blank: few keys are missing, so this side is small or its questions are many
+    rest = cut(rows.join(F.broadcast(by_id.select("p")) if by_id.limit(MOST_NARROW + 1).count() <= MOST_NARROW else by_id.select("p"), "p", "left_anti"))
+    asked = looked_up(rest, by_question, "q").select(*cols)
+    own = F.concat(F.lit("row:"), F.coalesce(F.col("candidate_id").cast("string"), F.lit("")))
+    alone = rest.join(by_question.select("q"), "q", "left_anti").select("candidate_id", "label", own.alias("component"))
+    return cut(known.unionByName(asked).unionByName(alone))
 
 
 def assign_splits(records: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """``candidate_id``, ``label``, ``component``, ``split`` for each distinct candidate.
 
-    ``records``: candidate_id, prompt_id, question, dataset. A row without an id goes by its question,
-    and one without either is a prompt of its own. Shares are divided by their sum. The driver holds
-    one entry per distinct component size and label, at most sqrt(2 x rows) sizes.
-    Ties and repeated rows don't matter: order is by hash and then by component.
+    ``records``: candidate_id, prompt_id, question, dataset. Rows are placed by :func:`placed_rows`. Shares are
+    divided by their sum. The driver holds one entry per distinct label profile of a component; there are at
+    most sqrt(2 x rows) sizes. Ties and repeated rows don't matter: order is by hash and then by component.
     """
-    rows = one_per_key(records.select("candidate_id", "prompt_id", "question", "dataset"), "candidate_id")
-    ids, found = prompt_graph(records)
-    placed = (
-        rows.join(ids, "prompt_id", "left")
-        .select("candidate_id", "dataset", _row_node().alias("node"))
-        .join(found, "node", "left")
-        .select("candidate_id", F.coalesce(F.regexp_extract(label_key("dataset"), "^(gsm8k|math)", 1), F.lit("")).alias("label"), F.coalesce("component", "node").alias("component"))
-    )
-    members = placed.groupBy("component").agg(F.count("*").alias("size"), F.max("label").alias("label"))
-    bundles = [(r["size"], r["label"], r["n"]) for r in members.groupBy("size", "label").agg(F.count("*").alias("n")).collect()]
+    placed = placed_rows(records)
+    per = placed.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("profile"))
+    members = cut(per.select("component", F.to_json("profile").alias("bundle"), "profile"))
+    counted = members.groupBy("bundle").agg(F.count("*").alias("n"), F.first("profile").alias("profile")).collect()
+    key_of = {tuple((x["label"], x["n"]) for x in r["profile"]): r["bundle"] for r in counted}
+    bundles = [(tuple((x["label"], x["n"]) for x in r["profile"]), r["n"]) for r in counted]
     shares = {r["split"]: float(r["share"]) for r in targets.where("split is not null and share > 0").collect()}
     if not shares:
         raise ValueError("no split has a share")
     shares = {s: x / sum(shares.values()) for s, x in shares.items()}
     plan = []
-    for (z, lab), x in settle_quotas(bundles, shares).items():
+    for p, x in settle_quotas(bundles, shares).items():
         at = 0
         for s in sorted(x):
             if x[s]:
-                plan.append((z, lab, s, at + 1, at + x[s]))
+                plan.append((key_of[p], s, at + 1, at + x[s]))
                 at += x[s]
-    plan_df = records.sparkSession.createDataFrame(plan, "size long, label string, split string, lo long, hi long")
-    order = ranked(members, ["size", "label"], [F.xxhash64(F.lit(seed), "component"), F.col("component")])
-    chosen = order.join(plan_df, ["size", "label"]).where("position between lo and hi").select("component", "split")
-    return placed.join(chosen, "component").select("candidate_id", "label", "component", "split")
+    plan_df = records.sparkSession.createDataFrame(plan, "bundle string, split string, lo long, hi long")
+    order = ranked(members.select("component", "bundle"), ["bundle"], [F.xxhash64(F.lit(seed), "component"), F.col("component")])
+    chosen = cut(order.join(plan_df, "bundle").where("position between lo and hi").select("component", "split"))
+    return looked_up(placed, chosen, "component").select("candidate_id", "label", "component", "split")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ vectorised test over all adjacent pairs accepts most words; only the rest are me
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text into words before the merges of this vocabulary.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words remembered per Python worker; beyond it the memory starts anew, results don't change.
+#: Words remembered per vocabulary and Python worker; beyond it the memory starts anew, results don't change.
 REMEMBERED = 400_000
 
 
@@ -30,6 +31,7 @@ class Vocabulary:
 
     def __init__(self, raw: bytes) -> None:
         pairs = [line.split() for line in raw.splitlines() if line.strip()]
+        self.memory: dict[str, np.ndarray] = {}
         self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         self.longest = max(map(len, self.rank))
         n = max(self.rank.values()) + 1
@@ -152,30 +154,30 @@ class Vocabulary:
         return out
 
 
-_loaded: dict[bytes, Vocabulary] = {}
+_loaded: dict[bytes, Vocabulary] = {}  # by a hash of the whole file
 
 
 def vocabulary(raw: bytes) -> Vocabulary:
     """The vocabulary of the rank file's bytes, made once per process."""
-    key = raw[:64] + len(raw).to_bytes(8, "big")
+    key = hashlib.sha256(raw).digest()
     if key not in _loaded:
         _loaded[key] = Vocabulary(raw)
     return _loaded[key]
 
 
 _split = regex.compile(WORDS)
-_memory: dict[str, np.ndarray] = {}
 
 
 def encode_batch(voc: Vocabulary, texts: list[str | None]) -> list[list[np.ndarray]]:
     """Word encodings of each text; none for an empty or null text."""
     words = [_split.findall(t) if t else [] for t in texts]
-    if len(_memory) > REMEMBERED:
-        _memory.clear()
-    new = list({w for ws in words for w in ws if w not in _memory})
+    memory = voc.memory
+    if len(memory) > REMEMBERED:
+        memory.clear()
+    new = list({w for ws in words for w in ws if w not in memory})
     for w, ids in zip(new, voc.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-        _memory[w] = ids
-    return [[_memory[w] for w in ws] for ws in words]
+        memory[w] = ids
+    return [[memory[w] for w in ws] for ws in words]
 
 
 def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = DEFAULT_VOCABULARY, sizes_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
