@@ -80,6 +80,11 @@ PAIRS = [
     ("A shop sells 1875 mugs and 2888 cups. 921 are returned. How many stay sold?", "A shop sells 1,875 mugs and 2,888 cups. It was windy. 921 are returned. How many stay sold?", True),
     ("A farm sells 3875 eggs and 4888 hens. 721 are returned. How many stay sold?", "A farm sells 3876 eggs and 4888 hens. 721 are returned. How many stay sold?", False),
     ("Give the capital of France and say why it is the capital", "Give the capital of  france and say why it is the capital", True),
+    ("Anna buys 1 book for 5 dollars at the fair", "Anna buys one book for 5 dollars at the fair", True),
+    ("The hall has 25 seats in front of the stage", "The hall has twenty-five seats in front of the stage", True),
+    ("A basket holds 12 eggs from the farm near us", "A basket holds a dozen eggs from the farm near us", True),
+    ("A farmer with 9 cows sells half of them today", "It is Monday. The weather was calm and nobody was about. A farmer with 9 cows sells half of them today", True),
+    ("The hall has 25 seats in front of a stage", "The hall has 26 seats in front of a stage", False),
     ("A train has 12 cars with 30 seats and 40 places are empty.", "Mix 12 spoons, 30 grams, 40 drops of any oil you like today", False),
 ]
 
@@ -92,24 +97,50 @@ def test_overlaps(spark):
     assert got == {(f"eval-{i}", f"train-{i}") for i, (_, _, same) in enumerate(PAIRS) if same}
 
 
-def test_prefix_join_misses_nothing(spark):
+def same_problem(x, y):
+    """The definition, on the sets of two records."""
+    jac = lambda p, q: len(p & q) / len(p | q) if p | q else 1.0
+    told = lambda p, q: all(d.split("#")[0] in q[2] for d in set(p[1]) - set(q[1]))
+    a, b = [set(v) for v in x], [set(v) for v in y]
+    quantities = min(len(a[0]), len(b[0])) > 1 and jac(a[0], b[0]) >= overlap.QUANTITY_SIMILARITY - 1e-9 and jac(a[3], b[3]) >= overlap.WORDING
+    least = min(len(a[4]), len(b[4]))
+    words = max(len(a[0]), len(b[0])) <= overlap.FEW and least > 0 and len(a[4] & b[4]) >= overlap.WORD_SIMILARITY * least - 1e-9
+    return told(x, y) and told(y, x) and (quantities or words)
+
+
+@pytest.mark.parametrize("hot", [200, 1])
+def test_prefix_join_misses_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT_KEY", hot)
     random.seed(3)
-    texts = [" ".join(f"{random.randrange(2, 7)} {random.choice(['alpha', 'beta', 'two'])}" for _ in range(random.randrange(1, 5))) for _ in range(160)]
+    texts = [" ".join(f"{random.randrange(2, 7)} {random.choice(['alpha', 'beta', 'two'])}" for _ in range(random.randrange(1, 5))) for _ in range(150)]
+    texts += [" ".join(random.choice(["red", "blue"]) for _ in range(7)) for _ in range(20)]
+    long = [str(random.randrange(2, 90)) for _ in range(66)]
+    texts += [" ".join(long[: random.randrange(44, 67)] + ["x"] * random.randrange(3)) for _ in range(24)]
     rows = [("eval" if i % 2 else "train", f"k{i:03}", t) for i, t in enumerate(texts)]
     feats = {i: overlap.features(t) for _, i, t in rows}
-
-    def alike(a, b):
-        x, y = set(a[0]), set(b[0])
-        told = lambda p, q: all(d.split("#")[0] in q[2] for d in set(p[1]) - set(q[1]))
-        jac = lambda p, q: len(p & q) / len(p | q)
-        return jac(x, y) >= overlap.QUANTITY_SIMILARITY - 1e-9 and told(a, b) and told(b, a) and jac(set(a[3]), set(b[3])) >= overlap.WORDING
-
     ev, tr = [i for s, i, _ in rows if s == "eval"], [i for s, i, _ in rows if s == "train"]
-    want = sorted((min(a, b), max(a, b)) for a in ev for b in tr if alike(feats[a], feats[b]))
+    want = sorted((min(a, b), max(a, b)) for a in ev for b in tr if same_problem(feats[a], feats[b]))
     got = ids(overlap.overlapping_pairs(spark.createDataFrame(rows, "side string, id string, text string")), "id_a", "id_b")
     assert got == want and want
 
 
+def test_problems_against_all_pairs(spark):
+    """Every fifth test problem of the small tables against all training problems."""
+    rows = queries._problems(spark, DATA).where("text is not null").collect()
+    feats = {(r["side"], r["id"]): overlap.features(r["text"]) for r in rows}
+    ev = sorted(i for s, i in feats if s == "eval")[::5]
+    want = {(min(a, b), max(a, b)) for a in ev for s, b in feats if s == "train" and same_problem(feats["eval", a], feats["train", b])}
+    got = {p for p in ids(queries.p2_found(spark, DATA), "id_a", "id_b") if p[0] in ev or p[1] in ev}
+    assert got == want
+
+
+def test_spelled_numbers():
+    cases = {"twenty five": 25, "two hundred and six": 206, "three thousand": 3000, "a dozen": 12, "half a dozen": 6, "two dozen": 24, "one hundred five": 105, "nineteen": 19, "a hundred": 100}
+    for text, n in cases.items():
+        assert overlap.spelled_number(text.split(), 0) == (n, len(text.split()))
+    assert overlap.spelled_number(["five", "six"], 0) == (5, 1) and overlap.spelled_number(["a", "book"], 0) is None
+
+
 # 3: truncation
 def test_truncation(spark):
     random.seed(2)

@@ -39,7 +39,7 @@ def p1_report(s: SparkSession, d: str) -> DataFrame:
 def _problems(s: SparkSession, d: str) -> DataFrame:
     out = None
     for name, text in (("gsm8k_test", "question"), ("math_test", "problem"), ("gsm8k_train", "question"), ("math_train", "problem")):
-        one = table(s, d, name).select(F.lit("eval" if name.endswith("test") else "train").alias("side"), "id", F.col(text).alias("text"))
+        one = table(s, d, name).select(F.lit("eval" if name.endswith("test") else "train").alias("side"), "id", F.lit(name.partition("_")[0]).alias("source"), F.col(text).alias("text"))
         out = one if out is None else out.union(one)
     return out
 
@@ -51,7 +51,7 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
 
 def p2_report(s: SparkSession, d: str) -> DataFrame:
     """Overlaps per data set of the test and the train side."""
-    return overlap.overlap_report(overlap.overlapping_pairs(_problems(s, d)))
+    return overlap.overlap_report(overlap.overlapping_records(_problems(s, d)))
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
