@@ -108,7 +108,7 @@ def same_problem(x, y):
     return told(x, y) and told(y, x) and (quantities or words)
 
 
-@pytest.mark.parametrize("hot", [200, 1])
+@pytest.mark.parametrize("hot", [1000, 1])
 def test_prefix_join_misses_nothing(spark, monkeypatch, hot):
     monkeypatch.setattr(overlap, "HOT_KEY", hot)
     random.seed(3)

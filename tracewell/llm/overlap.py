@@ -30,7 +30,7 @@ FEW = 3
 #: Records with more quantities than this are indexed by single quantities, not pairs of them.
 MANY = 64
 #: A key that more evaluation records than this hold is joined together with a rare word.
-HOT_KEY = 200
+HOT_KEY = 1000
 
 # Number words.
 _SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -152,7 +152,9 @@ def _featured(classes: DataFrame) -> DataFrame:
             out.insert(0, "side", f["side"].to_numpy())
             yield out
 
-    return classes.select("side", "class", "text").mapInPandas(run, "side string, class string, " + ", ".join(f"{c} array<string>" for c in _SETS))
+    made = classes.select("side", "class", "text").mapInPandas(run, "side string, class string, " + ", ".join(f"{c} array<string>" for c in _SETS))
+    # words and shingles go on as 64-bit hashes
+    return made.select("side", "class", "tokens", "digits", "spelled", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("words", "shingles")])
 
 
 def _rare_first(rows: DataFrame, items: str) -> DataFrame:
@@ -199,7 +201,8 @@ def _by_quantities(rows: DataFrame) -> DataFrame:
 
     if hot.isEmpty():
         return met(keys, ["key", "l"]).distinct()
-    words = _rare_first(rows.where(F.size("words") > 0), "words").select("side", "class", F.explode(F.expr("slice(s, 1, n - cast(ceil(n / 2.0) as int) + 1)")).alias("word"))
+    concerned = cut(keys.join(hot, ["key", "l"], "left_semi").select("side", "class").distinct())
+    words = _rare_first(rows.where(F.size("words") > 0).join(concerned, ["side", "class"], "left_semi"), "words").select("side", "class", F.explode(F.expr("slice(s, 1, n - cast(ceil(n / 2.0) as int) + 1)")).alias("word"))
     warm = keys.join(hot, ["key", "l"], "left_semi").join(words, ["side", "class"])
     return met(keys.join(hot, ["key", "l"], "left_anti"), ["key", "l"]).union(met(warm, ["key", "l", "word"])).distinct()
 
