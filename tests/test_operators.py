@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import classify, dist, labels
-from tracewell.operators import budget, components, compare, ranking, report, selectors, train
+from tracewell.operators import budget, compare, contracts, ranking, report, selectors, train
 from tracewell.sources import jsonl, sinks
 from tracewell.streaming import ledger
 
@@ -92,24 +92,6 @@ def test_ranked_positions(spark, n):
         assert [got[x[2]] for x in rows] == [(k + 1, len(rows)) for k in range(len(rows))]
 
 
-def test_components(spark):
-    random.seed(4)
-    links = [(f"n{random.randrange(60):03}", f"n{random.randrange(60):03}") for _ in range(45)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)] + [("hub", f"h{i}") for i in range(30)] + [(None, "x"), ("y", "y")]
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        if a and b and a != b:
-            parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "u string, v string")).collect()}
-    assert got == {x: find(x) for x in parent}
-    assert components.connected_components(spark.createDataFrame([], "u string, v string")).count() == 0
-
-
 def greedy(rows, limit):
     out, used = set(), 0
     for i, s, z in sorted(rows, key=lambda r: (-(r[1] if r[1] is not None and r[1] == r[1] else 0.0), r[0])):
@@ -224,3 +206,21 @@ def test_medians_spread_over_tasks(spark):
     s = report.summary(df, {"v": F.col("v"), "none": F.lit(None).cast("double")})
     r = {x["metric"]: x for x in s.collect()}
     assert r["none"]["n"] == 0 and r["none"]["median"] is None and r["v"]["n"] == sum(x is not None and x == x for _, x in rows)
+
+
+def test_driver_side_loaders(tmp_path):
+    (tmp_path / "c.json").write_text('{"selector": {"beta": 0.7}}')
+    assert selectors.load_config(str(tmp_path / "c.json")) == {"beta": 0.7}
+    (tmp_path / "d.json").write_text('{"beta": 0.2}')
+    assert selectors.load_config(str(tmp_path / "d.json")) == {"beta": 0.2}
+    train.save_artifact({"feature_names": ["unknown"], "weights": [1.0]}, str(tmp_path / "x" / "a.json"))
+    a = train.load_artifact(str(tmp_path / "x" / "a.json"))
+    assert (a["name"], a["threshold"], a["standardization"], a["weights"]) == ("learned_linear", 0.5, None, [1.0])
+    for name in ("checkpoint-20", "checkpoint-3", "checkpoint-x", "other"):
+        (tmp_path / name).mkdir()
+    assert jsonl.checkpoint_dirs(str(tmp_path)) == [("checkpoint-20", 20), ("checkpoint-3", 3)]
+    assert jsonl.csv_set(" a, ,b,a") == {"a", "b"} and jsonl.csv_set(None) == set()
+    assert jsonl.token_cutoff(0, 9) == 0 and jsonl.token_cutoff(None, 9) == 9 and jsonl.token_cutoff(None, None) is None
+    assert contracts.dtype("BF16") == "bfloat16"
+    with pytest.raises(ValueError, match="unsupported"):
+        contracts.dtype("int8")

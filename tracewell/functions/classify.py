@@ -124,11 +124,6 @@ def manual_answer(c: Column) -> Column:
     return F.when(c.rlike(r"\\boxed\{([^}]+)\}"), strip(box)).when(c.isNotNull(), F.coalesce(number, F.lit("")))
 
 
-def last_word(c: Column) -> Column:
-    """The last word of a text, split at white space."""
-    return F.element_at(F.split(strip(c), rf"{BLANK}+"), -1)
-
-
 def perplexity_gold(c: Column) -> Column:
     """Gold answer of the perplexity samples: after the last ``####`` or the whole, without leading dollar signs."""
     return strip(F.regexp_replace(strip(F.element_at(F.split(c, "####"), -1)), r"^\$+", ""))

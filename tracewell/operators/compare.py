@@ -66,13 +66,16 @@ def overlap_of_keys(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 
 def vocabulary_audit(a: DataFrame, b: DataFrame, prefix: int, shown: int = 5) -> DataFrame:
-    """One row: sizes, whether the first ``prefix`` ids and all agree, the first difference and some more.
+    """One row: sizes, whether the first ``prefix`` ids and all agree, the first difference, and ``shown`` differences as text.
 
     ``a`` and ``b``: id, token. The samples are the least ids, kept as a bounded top-k.
     """
     j = a.select("id", F.col("token").alias("ta")).join(b.select("id", F.col("token").alias("tb")), "id", "full_outer").withColumn("same", F.col("ta").eqNullSafe(F.col("tb")))
     base = j.agg(F.count("ta").alias("size_a"), F.count("tb").alias("size_b"), F.count_if(~F.col("same") & (F.col("id") < prefix)).alias("_p"), F.count_if(~F.col("same")).alias("differences"), F.min(F.when(~F.col("same"), F.col("id"))).alias("first_difference"))
-    return base.select("size_a", "size_b", (F.col("_p") == 0).alias("prefix_equal"), ((F.col("differences") == 0) & (F.col("size_a") == F.col("size_b"))).alias("fully_equal"), "differences", "first_difference")
+    few = j.where("not same").orderBy("id").limit(shown).select("id", F.concat(F.col("id").cast("string"), F.lit(": "), F.coalesce("ta", F.lit("")), F.lit(" | "), F.coalesce("tb", F.lit(""))).alias("t"))
+    sample = few.agg(F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x["t"]), "; "), F.lit("")).alias("samples"))
+    base = base.crossJoin(sample)  # one row each
+    return base.select("samples", "size_a", "size_b", (F.col("_p") == 0).alias("prefix_equal"), ((F.col("differences") == 0) & (F.col("size_a") == F.col("size_b"))).alias("fully_equal"), "differences", "first_difference")
 
 
 def shared_vocabulary(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -72,11 +72,14 @@ def trainer_error(df: DataFrame, vocabulary: int | None = None) -> Column:
     return _first(checks)
 
 
-def trainer_report(df: DataFrame, vocabulary: int | None = None, shown: int = 20) -> DataFrame:
-    """One row: records, records with metadata, greatest id, errors, and up to ``shown`` kinds of error."""
+def trainer_report(df: DataFrame, key: str, vocabulary: int | None = None, shown: int = 20) -> DataFrame:
+    """One row: records, records with metadata, greatest id, errors, and the first ``shown`` failing records, by key, with their reason."""
     e = df.withColumn("_e", trainer_error(df, vocabulary))
-    kinds = F.slice(F.array_sort(F.collect_set("_e")), 1, shown)
-    return e.agg(F.count("*").alias("records_checked"), F.count("selection_metadata").alias("metadata_records"), F.coalesce(F.max(F.array_max("token_ids")), F.lit(0)).alias("max_token_id"), F.count("_e").alias("error_count"), F.array_join(kinds, "; ").alias("errors"), (F.count("_e") == 0).alias("compatible"))
+    few = e.where("_e is not null").select(key, "_e").orderBy(key, "_e").limit(shown)
+    text = F.transform(F.array_sort(F.collect_list(F.struct(key, "_e"))), lambda x: F.concat(x[key].cast("string"), F.lit(": "), x["_e"]))
+    first = few.agg(F.array_join(text, "; ").alias("errors"))
+    whole = e.agg(F.count("*").alias("records_checked"), F.count("selection_metadata").alias("metadata_records"), F.coalesce(F.max(F.array_max("token_ids")), F.lit(0)).alias("max_token_id"), F.count("_e").alias("error_count"), (F.count("_e") == 0).alias("compatible"))
+    return whole.crossJoin(first)  # one row each
 
 
 def all_valid(df: DataFrame, error: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.dist import filter_target
 from tracewell.operators.features import position_features, token_features
 
+# Fixed value.
 SYSTEM_PROMPT = "Please reason step by step, and put your final answer within \\boxed{}."
 
 
@@ -73,9 +74,9 @@ def sample_metadata(df: DataFrame, default: str = "unknown") -> DataFrame:
     return df.withColumn("selector_name", get("selector_name")).withColumn("token_category", get("token_category")).withColumn("step_type", get("step_type"))
 
 
-def eval_row(df: DataFrame, gold: Column, prediction: Column) -> DataFrame:
+def eval_row(df: DataFrame, gold: Column, prediction: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """An evaluation output; the id defaults to the question, correct is equality of the texts."""
-    return df.select("index", F.coalesce("id", "question").alias("id"), "question", gold.alias("gold"), prediction.alias("prediction"), F.coalesce(gold == prediction, F.lit(False)).alias("correct"), "response")
+    return df.select(*keep, "index", F.coalesce("id", "question").alias("id"), "question", gold.alias("gold"), prediction.alias("prediction"), F.coalesce(gold == prediction, F.lit(False)).alias("correct"), "response")
 
 
 def kl_log_row(df: DataFrame, expert_text: Column, amateur_text: Column) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.dist import filtered_size
 from tracewell.operators.budget import common_text
-from tracewell.operators.features import BUCKETS, position_bucket
+from tracewell.operators.features import position_bucket
+from tracewell.operators.project import sample_metadata
 from tracewell.operators.ranking import ranked
 from tracewell.operators.records import finite_or_null
 
@@ -34,12 +35,6 @@ def summary(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return base.join(medians(long, ["metric"], "v"), "metric", "left").select("metric", "n", "mean", "median", "min", "max")
 
 
-def counters(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``counter``, ``value``, ``n`` of several counters in one pass; null counts under the text None."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("counter"), F.coalesce(c.cast("string"), F.lit("None")).alias("value")) for n, c in columns.items()])).alias("x")).select("x.*")
-    return long.groupBy("counter", "value").agg(F.count("*").alias("n"))
-
-
 def mixed_totals(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     """One row: records of either kind and the rate of candidates with the fixed flag (null without any)."""
     both = candidates.select(F.lit(1).alias("c"), F.coalesce("fixed_kl_selected", F.lit(False)).cast("int").alias("f")).union(samples.select(F.lit(0), F.lit(0)))
@@ -140,8 +135,36 @@ def run_counters(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.count("*").alias("processed"), F.count_if("accepted").alias("accepted"), r("incorrect").alias("rejected_incorrect"), r("degenerate").alias("rejected_degenerate"), F.coalesce(F.sum("num_candidates"), F.lit(0)).alias("candidates_written"))
 
 
-def position_counts(candidates: DataFrame) -> DataFrame:
-    """Rows per position bucket, absent buckets with zero."""
-    c = candidates.groupBy(position_bucket(F.col("normalized_position")).alias("bucket")).agg(F.count("*").alias("n"))
-    spine = candidates.sparkSession.createDataFrame([(b,) for b in (*BUCKETS, "unknown")], "bucket string")
-    return spine.join(c, "bucket", "left").fillna(0, ["n"])
+def _mixed(candidates: DataFrame, samples: DataFrame) -> DataFrame:
+    """Candidates and selected samples in one form: the values of the counters and of the metrics, null where a kind has none."""
+    d = F.col("distribution_features")
+    flag = F.coalesce("fixed_kl_selected", F.lit(False))
+    text = lambda c: F.coalesce(c, F.lit("None"))
+    yes = lambda c: F.when(c, "True").otherwise("False")
+    a = candidates.select(
+        text(F.col("token_features.token_category")).alias("token_categories"), text(F.col("step_features.step_type")).alias("step_types"), position_bucket(F.col("normalized_position")).alias("prefix_position_buckets"),
+        F.lit(None).cast("string").alias("selector_names"), yes(flag).alias("fixed_kl_selected_flags"), yes(F.coalesce(d["top1_match"], F.lit(False))).alias("top1_match_flags"),
+        F.when(flag, "fixed_kl_selected").otherwise("fixed_kl_rejected").alias("selected_by_rule"), d["kl_expert_amateur"].alias("kl"), *[d[m].alias(m) for m in ("expert_entropy", "amateur_entropy", "entropy_gap")],
+    )
+    m = sample_metadata(samples)
+    none = lambda t, *names: [F.lit(None).cast(t).alias(n) for n in names]
+    b = m.select(
+        F.col("token_category").alias("token_categories"), F.col("step_type").alias("step_types"), F.lit("unknown").alias("prefix_position_buckets"), F.col("selector_name").alias("selector_names"),
+        *none("string", "fixed_kl_selected_flags", "top1_match_flags", "selected_by_rule"), F.col("kl_divergence").alias("kl"), *none("double", "expert_entropy", "amateur_entropy", "entropy_gap"),
+    )
+    return a.unionByName(b)
+
+
+COUNTERS = ("token_categories", "step_types", "prefix_position_buckets", "selector_names", "fixed_kl_selected_flags", "top1_match_flags", "selected_by_rule")
+
+
+def selection_counters(candidates: DataFrame, samples: DataFrame) -> DataFrame:
+    """``counter``, ``value``, ``n``: the seven counters over candidates and selected samples, in one pass."""
+    mixed = _mixed(candidates, samples)
+    long = mixed.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("value")) for c in COUNTERS])).alias("x")).select("x.*")
+    return long.where("value is not null").groupBy("counter", "value").agg(F.count("*").alias("n"))
+
+
+def selection_summaries(candidates: DataFrame, samples: DataFrame) -> DataFrame:
+    """The four summaries: divergence over candidates and samples, entropies and their gap over candidates."""
+    return summary(_mixed(candidates, samples), {m: F.col(m) for m in ("kl", "expert_entropy", "amateur_entropy", "entropy_gap")})

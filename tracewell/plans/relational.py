@@ -128,7 +128,7 @@ def _rule_sql(r: selectors.Rule) -> str:
       when not {good('entropy_gap', '>=', r.min_entropy_gap)} then 'entropy_gap_too_low' when not {good('kl_expert_amateur', '>=', need)} then 'kl_below_step_threshold:' || t else 'selected:' || t || ':' || c end"""
 
 
-_DECIDE = c_sql(d="distribution_features", c="coalesce(token_features.token_category, 'other')", t="coalesce(step_features.step_type, 'other')", tg="contrastive_target", p="normalized_position")
+_DECIDE = c_sql(d="distribution_features", c="coalesce(token_features.token_category, 'other')", t="coalesce(step_features.step_type, 'other')", tg="contrastive_target", p="normalized_position", rc="token_features.token_category", rs="step_features.step_type")
 _FIXED = "case when coalesce(not isnan(d.kl_expert_amateur) and d.kl_expert_amateur >= 0.4, false) then 'kl_above_beta' else 'kl_below_beta' end"
 
 
@@ -184,7 +184,7 @@ def _decided(s: SparkSession, d: str) -> DataFrame:
 
 
 _REASONS = {n: _FIXED if n == "fixed_kl" else _rule_sql(selectors.shipped(n)) for n in _SHIPPED}
-_ALL = f"c0 as ({_DECIDE}), dec as (" + " union all ".join(f"select candidate_id, c, t, d, tg, '{n}' selector, {r} reason from c0" for n, r in _REASONS.items()) + "), dd as (select *, reason = 'kl_above_beta' or reason like 'selected:%' sel from dec)"
+_ALL = f"c0 as ({_DECIDE}), dec as (" + " union all ".join(f"select candidate_id, c, t, d, tg, rc, rs, '{n}' selector, {r} reason from c0" for n, r in _REASONS.items()) + "), dd as (select *, reason = 'kl_above_beta' or reason like 'selected:%' sel from dec)"
 
 
 @query("SEL-06_shipped_configurations", f"with {_ALL} select selector, reason, count(*) as n from dd group by all")
@@ -290,12 +290,21 @@ def agg01(s, d):
     return _rounded(report.summary(_c(s, d), {m: F.col(f"distribution_features.{m}") for m in _METRICS}))
 
 
-_COUNTERS = {"token_category": "token_features.token_category", "step_type": "step_features.step_type", "fixed_kl_selected": "fixed_kl_selected", "top1_match": "distribution_features.top1_match", "dataset": "dataset"}
+_MIXED = f"""c as ({c_sql(tc='token_features.token_category', st='step_features.step_type', np='normalized_position', f='fixed_kl_selected', m='distribution_features.top1_match', d='distribution_features')}),
+  s as (select sample_id, any_value(selection_metadata) m, any_value(kl_divergence) k from selected_samples group by sample_id)"""
+_COUNTED = """select unnest(['token_categories', 'step_types', 'prefix_position_buckets', 'fixed_kl_selected_flags', 'top1_match_flags', 'selected_by_rule']) as counter,
+    unnest([coalesce(tc, 'None'), coalesce(st, 'None'), case when np is null then 'unknown' when np < 0.33 then 'early' when np < 0.66 then 'middle' else 'late' end, case when f then 'True' else 'False' end, case when m then 'True' else 'False' end, case when f then 'fixed_kl_selected' else 'fixed_kl_rejected' end]) as value from c
+  union all select unnest(['token_categories', 'step_types', 'prefix_position_buckets', 'selector_names']), unnest([case when m is null then 'unknown' else coalesce(m.token_category, 'None') end, case when m is null then 'unknown' else coalesce(m.step_type, 'None') end, 'unknown', case when m is null then 'unknown' else coalesce(m.selector_name, 'None') end]) from s"""
 
 
-@query("AGG-02_selection_report", f"select counter, coalesce(value, 'None') as value, count(*) as n from (select unnest({list(_COUNTERS)}) counter, unnest([{', '.join(f'cast(x{i} as varchar)' for i in range(len(_COUNTERS)))}]) as value from ({c_sql(**{f'x{i}': v for i, v in enumerate(_COUNTERS.values())})})) group by 1, 2")
+@query("AGG-02_selection_report", f"with {_MIXED} select counter, value, count(*) as n from ({_COUNTED}) group by all")
 def agg02(s, d):
-    return report.counters(candidates(s, d, "dataset", *_NEED), {n: F.col(c) for n, c in _COUNTERS.items()})
+    return report.selection_counters(candidates(s, d, *_NEED), samples(s, d))
+
+
+@query("AGG-02_report_summaries", f"with {_MIXED} select metric, " + _stat_sql("select unnest(['kl', 'expert_entropy', 'amateur_entropy', 'entropy_gap']) metric, unnest([d.kl_expert_amateur, d.expert_entropy, d.amateur_entropy, d.entropy_gap]) v from c union all select 'kl', k from s"))
+def agg02c(s, d):
+    return _rounded(report.selection_summaries(candidates(s, d, *_NEED), samples(s, d)))
 
 
 @query("AGG-02_mixed_totals", "with c as (select any_value(fixed_kl_selected) f from candidate_records group by candidate_id), s as (select count(distinct sample_id) n from selected_samples) select count(*) + any_value(s.n) as total_records, count(*) as candidate_records, any_value(s.n) as selected_sample_records, round(count(*) filter (f) / count(*), 9) as selection_rate from c, s")
@@ -316,40 +325,54 @@ def agg03b(s, d):
     return report.reasons(c.withColumn("decision", selectors.Rule().decide(c)))
 
 
-_MILE = f"""with {_ALL}, z as (select *, len(list_filter(tg.token_ids, lambda x: x >= 0 and x < {_CUT})) n, case when isnan(d.kl_expert_amateur) then null else d.kl_expert_amateur end k from dd), y as (select *, coalesce(sel and n > 0, false) ok from z)
-  select selector, count(*) filter (ok) as samples, count(*) filter (sel) as samples_before_vocab_filter, count(*) filter (sel) - count(*) filter (ok) as samples_dropped_by_vocab_filter, cast(coalesce(sum(n) filter (ok), 0) as bigint) as target_tokens, round(count(*) filter (ok) / count(*), 9) as selection_rate, round(coalesce(avg(k) filter (ok), 0), 6) as kl_mean, round(coalesce(median(k) filter (ok), 0), 6) as kl_median from y group by selector"""
+def _main_sql(v: str) -> str:
+    return f"(select selector, string_agg(v || ':' || n, ', ' order by rn) x from (select selector, coalesce({v}, 'None') v, count(*) n, row_number() over (partition by selector order by count(*) desc, min(candidate_id)) rn from y where ok group by selector, {v}) where rn <= 5 group by selector)"
+
+
+_MILE = f"""with {_ALL}, z as (select *, len(list_filter(tg.token_ids, lambda x: x >= 0 and x < {_CUT})) n, case when isnan(d.kl_expert_amateur) then null else d.kl_expert_amateur end k from dd), y as (select *, coalesce(sel and n > 0, false) ok from z),
+  b as (select selector, count(*) filter (ok) as samples, count(*) filter (sel) as samples_before_vocab_filter, count(*) filter (sel) - count(*) filter (ok) as samples_dropped_by_vocab_filter, cast(coalesce(sum(n) filter (ok), 0) as bigint) as target_tokens, round(count(*) filter (ok) / count(*), 9) as selection_rate, round(coalesce(avg(k) filter (ok), 0), 6) as kl_mean, round(coalesce(median(k) filter (ok), 0), 6) as kl_median from y group by selector)
+  select b.*, coalesce(a.x, '') as main_token_types, coalesce(e.x, '') as main_step_types from b left join {_main_sql('rc')} a on a.selector = b.selector left join {_main_sql('rs')} e on e.selector = b.selector"""
 
 
 @query("AGG-04_milestone_table", _MILE)
 def agg04(s, d):
-    m = report.milestone(_decided(s, d), _CUT, "candidate_id").drop("main_token_types", "main_step_types")
-    return m.select("selector", "samples", "samples_before_vocab_filter", "samples_dropped_by_vocab_filter", F.col("target_tokens").cast("long").alias("target_tokens"), F.round("selection_rate", 9).alias("selection_rate"), F.round("kl_mean", 6).alias("kl_mean"), F.round("kl_median", 6).alias("kl_median"))
+    m = report.milestone(_decided(s, d), _CUT, "candidate_id")
+    return m.select("selector", "samples", "samples_before_vocab_filter", "samples_dropped_by_vocab_filter", F.col("target_tokens").cast("long").alias("target_tokens"), F.round("selection_rate", 9).alias("selection_rate"), F.round("kl_mean", 6).alias("kl_mean"), F.round("kl_median", 6).alias("kl_median"), "main_token_types", "main_step_types")
 
 
-@query("SNK-06_markdown_table", f"select selector, '| ' || selector || ' | ' || samples || ' | ' || target_tokens || ' | ' || printf('%.2f', selection_rate * 100) || '% |' as head from ({_MILE})")
+@query("SNK-06_markdown_table", f"select selector, '| ' || selector || ' | ' || samples || ' | ' || target_tokens || ' | ' || printf('%.2f', selection_rate * 100) || '% | ' || printf('%.4f', kl_mean) || ' | ' || printf('%.4f', kl_median) || ' | ' || main_token_types || ' | ' || main_step_types || ' |' as line from ({_MILE})")
 def snk06(s, d):
-    m = sinks.markdown_rows(report.milestone(_decided(s, d), _CUT, "candidate_id"))
-    return m.select("selector", F.concat(F.substring_index("line", "|", 5), F.lit("|")).alias("head"))
+    """The lines of the written markdown file."""
+    from tracewell.plans.common import scratch
+
+    path = scratch(s, "snk06")
+    sinks.markdown_rows(report.milestone(_decided(s, d), _CUT, "candidate_id")).write.json(path)
+    return s.read.schema("selector string, line string").json(path)
 
 
 @query("SNK-05_report_json", "select count(*) as total, count(*) filter (correct) as correct from (" + _E1 + ")")
 def snk05(s, d):
     """The report as it is written to JSON and read back."""
-    import json
-    import tempfile
-    from pathlib import Path
+    from tracewell.plans.common import scratch
+
+    path = scratch(s, "snk05")
+    report.accuracy(evals(s, d), []).select("total", "correct").coalesce(1).write.json(path)
+    return s.read.schema("total long, correct long").json(path)
+
 
-    with tempfile.TemporaryDirectory() as tmp:  # a report is one row on the driver
-        sinks.write_report(report.accuracy(evals(s, d), []).select("total", "correct"), f"{tmp}/report.json")
-        made = json.loads(Path(f"{tmp}/report.json").read_text())
-    return s.createDataFrame([(made["total"], made["correct"])], "total long, correct long")
+_CASES = f"with b as ({_run_sql('base')}), f as ({_run_sql('fixed_kl')}), k as (select 'base: ' || coalesce('{{\"correct\":' || b.c || '}}', 'null') || chr(10) || 'tuned: {{\"correct\":' || f.c || '}}' || chr(10) || repeat('=', 40) as block from f left join b using (k) where f.c and not coalesce(b.c, false))"
 
 
-@query("SNK-07_case_report", f"with b as ({_run_sql('base')}), f as ({_run_sql('fixed_kl')}) select f.k as \"key\", 'base: {{\"correct\":' || b.c || '}}' || chr(10) || 'tuned: {{\"correct\":' || f.c || '}}' || chr(10) || repeat('=', 40) as block from f join b using (k)")
+@query("SNK-07_case_report", f"{_CASES} select line, count(*) as n from (select unnest(string_split(block, chr(10))) line from k) group by line")
 def snk07(s, d):
-    r = _runs(s, d)
+    """The lines of the written text file: the improved cases, also those without a base record."""
+    from tracewell.plans.common import scratch
+
+    r, path = _runs(s, d), scratch(s, "snk07")
     one = lambda n: r[n].select("key", F.struct(F.coalesce("correct", F.lit(False)).alias("correct")).alias("base" if n == "base" else "tuned"))
-    return sinks.case_report(one("fixed_kl").join(one("base"), "key"), "key")
+    cases = compare.improved_cases(r["base"], r["fixed_kl"], "key")
+    sinks.case_report(cases.join(one("fixed_kl"), "key").join(one("base"), "key", "left"), "key").select("block").write.text(path)
+    return s.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query("SNK-08_fan_out", f"with {_ALL} select selector, count(*) as n from dd where sel group by selector")
@@ -443,7 +466,7 @@ def _vocabularies(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _VOC = "a as (select p_partkey id, p_name || ' ' || p_partkey token from part), b as (select id, case when id % 97 = 5 then token || '~' else token end token from a)"
 
 
-@query("JN-05_vocabulary_audit", f"with {_VOC}, j as (select a.id, a.token ta, b.token tb, a.token is not distinct from b.token same from a full join b on a.id = b.id) select count(ta) as size_a, count(tb) as size_b, count(*) filter (not same and id < 100) = 0 as prefix_equal, count(*) filter (not same) = 0 and count(ta) = count(tb) as fully_equal, count(*) filter (not same) as differences, min(id) filter (not same) as first_difference from j")
+@query("JN-05_vocabulary_audit", f"with {_VOC}, j as (select a.id, a.token ta, b.token tb, a.token is not distinct from b.token same from a full join b on a.id = b.id) select count(ta) as size_a, count(tb) as size_b, count(*) filter (not same and id < 100) = 0 as prefix_equal, count(*) filter (not same) = 0 and count(ta) = count(tb) as fully_equal, count(*) filter (not same) as differences, min(id) filter (not same) as first_difference, (select string_agg(id || ': ' || coalesce(ta, '') || ' | ' || coalesce(tb, ''), '; ' order by id) from (select * from j where not same order by id limit 5)) as samples from j")
 def jn05(s, d):
     return compare.vocabulary_audit(*_vocabularies(s, d), 100)
 
@@ -497,10 +520,8 @@ def ml01(s, d):
 
 @query("ML-02_trained_selector")
 def ml02(s, d):
-    c = _c(s, d).cache()
-    artifact = train.train_linear(c, "rule")
-    out = report.reasons(c.withColumn("decision", selectors.Linear.from_artifact(artifact).decide(c)))
-    return out
+    c = _c(s, d)
+    return report.reasons(c.withColumn("decision", selectors.Linear.from_artifact(train.train_linear(c, "rule")).decide(c)))
 
 
 @query("ML-02_distributed_selector")
@@ -547,13 +568,21 @@ def mdl03(s, d):
     return t.groupBy("prompt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "token_id"))), lambda x: x["token_id"].cast("string")), " ").alias("response"))
 
 
-@query("MDL-04_precomputed_distributions", "select vec_id, round(list_max(embedding)::double, 6) as top from embeddings")
-def mdl04(s, d):
+@query("MDL-02_precomputed_distributions", "select vec_id, round(list_max(embedding)::double, 6) as top from embeddings")
+def mdl02b(s, d):
     v = table(s, d, "embeddings")
     known = v.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("probabilities"))
     return scorer.precomputed(v.select("vec_id"), known, ["vec_id"]).select("vec_id", F.round(F.array_max("probabilities"), 6).alias("top"))
 
 
+@query("MDL-04_checkpoint_perplexity", f"select run_id, count(p) as tokens, round(exp(sum(-ln(p)) / count(p)), 6) as ppl from ({c_sql(run_id='run_id', p='distribution_features.target_expert_prob')}) where p > 0 and not isnan(p) group by run_id")
+def mdl04(s, d):
+    """Perplexity of each run's model on its logged target tokens; training and merging adapters is model work."""
+    p = F.col("distribution_features.target_expert_prob")
+    t = candidates(s, d, "run_id", "distribution_features").where(~F.isnan(p) & (p > 0))
+    return t.groupBy("run_id").agg(F.count(p).alias("tokens"), F.round(F.exp(F.sum(-F.log(p)) / F.count(p)), 6).alias("ppl"))
+
+
 @query("MDL-05_two_model_trace")
 def mdl05(s, d):
     t = table(s, d, "gsm8k_test").dropDuplicates(["id"]).select("id", F.col("question").alias("prefix"))

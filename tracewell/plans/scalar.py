@@ -164,16 +164,24 @@ def val03(s, d):
 
 
 @query("VAL-04_trainer_report", f"""with x as (select *, coalesce({_SAMPLE_ERR}, case when trim(prompt_id) = '' then 'blank prompt_id' when abs(list_sum(weights) - 1) > 1e-3 then 'weights don''t sum to 1' when len(token_ids) = 0 then 'no token ids' when list_max(token_ids) >= 151643 then 'token id beyond the vocabulary' end) e from selected_samples)
-  select count(*) as records_checked, count(selection_metadata) as metadata_records, cast(coalesce(max(list_max(token_ids)), 0) as bigint) as max_token_id, count(e) as error_count, coalesce(array_to_string(list_sort(list(distinct e) filter (e is not null)), '; '), '') as errors, count(e) = 0 as compatible from x""")
+  select count(*) as records_checked, count(selection_metadata) as metadata_records, cast(coalesce(max(list_max(token_ids)), 0) as bigint) as max_token_id, count(e) as error_count, coalesce((select string_agg(sample_id || ': ' || e, '; ' order by sample_id, e) from (select sample_id, e from x where e is not null order by sample_id, e limit 20)), '') as errors, count(e) = 0 as compatible from x""")
 def val04(s, d):
-    return contracts.trainer_report(table(s, d, "selected_samples"), 151643).withColumn("max_token_id", F.col("max_token_id").cast("long"))
+    return contracts.trainer_report(table(s, d, "selected_samples"), "sample_id", 151643).withColumn("max_token_id", F.col("max_token_id").cast("long"))
 
 
-@query("VAL-07_valid_samples", f"select count(*) as n from selected_samples where ({_SAMPLE_ERR}) is null")
+@query("VAL-07_valid_samples", f"select run_id, count(*) as n, count({_SAMPLE_ERR}) > 0 as aborts from selected_samples group by run_id")
 def val07(s, d):
-    t = table(s, d, "selected_samples")
-    t = t.where(contracts.sample_error(t).isNull())
-    return contracts.all_valid(t, contracts.sample_error(t)).agg(F.count("*").alias("n"))
+    """Each run's file is loaded as a whole; its first invalid record aborts the load."""
+    from pyspark.errors import PySparkException
+
+    t, out = table(s, d, "selected_samples"), []
+    for run, n in t.groupBy("run_id").count().collect():  # one load per file
+        one = t.where(F.col("run_id").eqNullSafe(F.lit(run)))
+        try:
+            out.append((run, contracts.all_valid(one, contracts.sample_error(one)).count(), False))
+        except PySparkException:
+            out.append((run, n, True))
+    return s.createDataFrame(out, "run_id string, n long, aborts boolean")
 
 
 @query("PRJ-01_word_problems", "select question as id, question, answer from gsm8k_train")
@@ -249,10 +257,9 @@ def prj10(s, d):
     return t.select("candidate_id", F.posexplode(f).alias("i", "v")).where(~F.isnan("v") & (F.col("v") != 0)).select("candidate_id", F.col("i").cast("long").alias("i"), "v")
 
 
-@query("PRJ-11_example_summary", "select distinct eval_id, id, gold, prediction, substring(response, 1, 300) as response from eval_outputs")
+@query("PRJ-11_example_summary", "select id, question, gold, prediction, substring(response, 1, 300) as response from (select eval_id, any_value(id) id, any_value(question) question, any_value(gold) gold, any_value(prediction) prediction, any_value(response) response from eval_outputs group by eval_id)")
 def prj11(s, d):
-    e = evals(s, d)
-    return e.select("eval_id", "id", "gold", "prediction", F.substring("response", 1, 300).alias("response"))
+    return project.example_summary(evals(s, d))
 
 
 @query("PRJ-12_target_sizes", f"select candidate_id, cast(coalesce(len(t.token_ids), 0) as bigint) as size, cast(coalesce(len({_KEPT}), 0) as bigint) as kept from ({c_sql(t='contrastive_target')})")
@@ -275,15 +282,22 @@ def prj14(s, d):
 
 @query("PRJ-15_eval_rows", f"select eval_id, coalesce(id, question) as id, {predicted_sql('response')} as predicted, coalesce(gold = {predicted_sql('response')}, false) as correct from (select eval_id, any_value(id) id, any_value(question) question, any_value(gold) gold, any_value(response) response from eval_outputs group by eval_id)")
 def prj15(s, d):
-    e = evals(s, d)
-    t = e.withColumn("_p", classify.predicted_answer(F.col("response")))
-    return t.select("eval_id", F.coalesce("id", "question").alias("id"), F.col("_p").alias("predicted"), F.coalesce(F.col("gold") == F.col("_p"), F.lit(False)).alias("correct"))
+    t = project.eval_row(evals(s, d), F.col("gold"), classify.predicted_answer(F.col("response")), ("eval_id",))
+    return t.select("eval_id", "id", F.col("prediction").alias("predicted"), "correct")
+
+
+_VOCABULARY = "select id, min(token) as token from (select unnest(contrastive_target.token_ids) id, unnest(contrastive_target.tokens) token from candidate_records) group by id"
 
 
-@query("PRJ-16_kl_log", f"select prompt_id, step, token, kl_divergence from ({c_sql(prompt_id='prompt_id', step='step', token='trim(target_token_text)', kl_divergence=f'case when isnan({_KL}) then null else {_KL} end')})")
+@query("PRJ-16_kl_log", f"with v as ({_VOCABULARY}) select prompt_id, step, trim(a.token) as token, trim(b.token) as amateur_top1_token, kl_divergence from ({c_sql(prompt_id='prompt_id', step='step', e='distribution_features.expert_top1_id', a='distribution_features.amateur_top1_id', kl_divergence=f'case when isnan({_KL}) then null else {_KL} end')}) c left join v a on a.id = c.e left join v b on b.id = c.a")
 def prj16(s, d):
-    c = candidates(s, d, "prompt_id", "step", "target_token_text", "distribution_features")
-    return project.kl_log_row(c, F.col("target_token_text"), F.col("target_token_text")).select("prompt_id", "step", "token", finite_or_null(F.col("kl_divergence")).alias("kl_divergence"))
+    """The token is the text of the expert's most likely id, as far as the log has that id's text."""
+    c = candidates(s, d, "prompt_id", "step", "distribution_features")
+    v = src18(s, d)
+    for side in ("expert", "amateur"):
+        known = v.select(F.col("id").alias(f"_{side}_id"), F.col("token").alias(f"_{side}"))
+        c = c.join(known, F.col(f"distribution_features.{side}_top1_id") == F.col(f"_{side}_id"), "left")
+    return project.kl_log_row(c, F.col("_expert"), F.col("_amateur")).select("prompt_id", "step", "token", "amateur_top1_token", finite_or_null(F.col("kl_divergence")).alias("kl_divergence"))
 
 
 @query("PRJ-17_plain_prompts", "select distinct id, 'System: Please reason step by step, and put your final answer within \\boxed{}.' || chr(10) || 'User: ' || question || chr(10) || 'Assistant: ' as prompt from gsm8k_test")

@@ -41,4 +41,4 @@ def markdown_rows(milestone: DataFrame) -> DataFrame:
 
 def case_report(df: DataFrame, key: str) -> DataFrame:
     """``key``, ``block``: the two records of a case as JSON with a rule below."""
-    return df.select(key, F.concat(F.lit("base: "), F.to_json("base", {"ignoreNullFields": "false"}), F.lit("\ntuned: "), F.to_json("tuned", {"ignoreNullFields": "false"}), F.lit("\n" + "=" * 40)).alias("block"))
+    return df.select(key, F.concat(F.lit("base: "), F.coalesce(F.to_json("base", {"ignoreNullFields": "false"}), F.lit("null")), F.lit("\ntuned: "), F.to_json("tuned", {"ignoreNullFields": "false"}), F.lit("\n" + "=" * 40)).alias("block"))
