@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import capping, cutoff, lookup, mixing, overlap, percentiles, queries, splits, subjects, target_sample, tokens, truncation
+from tracewell.llm import capping, components, cutoff, lookup, mixing, overlap, percentiles, queries, splits, subjects, target_sample, tokens, truncation
 
 DATA = "/root/testdata/sf0.001"
 NAN = float("nan")
@@ -264,6 +264,24 @@ def test_systematic_sample_against_a_loop(spark):
 
 
 # 5: splits
+def test_components(spark):
+    random.seed(4)
+    links = [(f"n{random.randrange(60):03}", f"n{random.randrange(60):03}") for _ in range(45)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)] + [("hub", f"h{i}") for i in range(30)] + [(None, "x"), ("y", "y")]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a and b and a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "u string, v string")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert components.connected_components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
 def test_prompt_pairs(spark):
     rows = [("gsm8k-train-7", "Q one"), ("GSM8K:train:0007", None), ("x-1", "q  ONE"), ("q one", "zz"), ("other", " "), (None, "q one"), ("", "q"), ("solo", None), ("b", ""), ("late", "ZZ")]
     pairs = ids(splits.same_prompt_pairs(spark.createDataFrame(rows, "prompt_id string, question string")), "prompt_id_a", "prompt_id_b")
