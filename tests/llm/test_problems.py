@@ -471,6 +471,31 @@ def test_labels_of_leaves():
     assert out[4] == "law" and 5 not in out and out[8] == "law" and out[1] == "law" and out[2] == "sport"
 
 
+def test_surroundings_beyond_chance(spark):
+    """Two subjects and a part (0) that stands beside everything: it is nobody's company; a repeated corpus keeps the proportions."""
+    random.seed(6)
+    docs = [(d, [x for k in random.choices([1, 2, 3] if d % 2 else [4, 5, 6], k=4) for x in (k, 0)]) for d in range(200)]
+
+    def beside(times):
+        placed = spark.createDataFrame([(d + 1000 * t, at, shape) for t in range(times) for d, v in docs for at, shape in enumerate(v)], "id long, at int, shape long")
+        sizes = placed.groupBy("shape").agg(F.count("*").alias("n"))
+        return {(r["a"], r["b"]): r["n"] for r in subjects.surroundings(placed, sizes, placed.count()).collect()}
+
+    once, often = beside(1), beside(9)
+    assert {(a > 3, b > 3) for a, b in once if a and b} == {(False, False), (True, True)}
+    pairs = [p for p in once if 0 not in p]
+    assert len({p for p in pairs if p[0] < p[1]}) == 6 and max([n for p, n in once.items() if 0 in p], default=0) < min(once[p] for p in pairs) / 2
+    assert all(often[p] / once[p] == pytest.approx(3, rel=0.1) for p in pairs)
+
+
+def test_leaves_around_tell_too():
+    """Leaf 2 has few telling words but stands beside 1; 3 has some of another subject but stands beside 1 as well."""
+    told = [(1, "law", 0.3), (2, "law", 0.01), (3, "sport", 0.15)]
+    both = subjects.told_around(told, [(2, 1, 8.0), (2, 4, 2.0), (3, 1, 5.0), (1, 2, 5.0)])
+    assert {k: s for k, s, v in both if v == max(w for j, _, w in both if j == k)} == {1: "law", 2: "law", 3: "law"}
+    assert subjects.term_labels(both) == {1: "law", 2: "law", 3: "law"} and subjects.term_labels(told) == {1: "law", 3: "sport"}
+
+
 def test_names_and_numbers_leave_the_shape(spark):
     df = spark.createDataFrame([(1, "Anna told Bob 12 things. we saw told things. Then we saw Anna.\nStill going"), (2, "Der Richter hört 3 Fälle")], "doc_id long, text string")
     made = {r["part"]: r["words"] for r in subjects.parts(df, "doc_id").join(subjects.shapes_of(subjects.parts(df, "doc_id")), "part_key").collect()}

@@ -2,10 +2,11 @@
 
 A document is a mixture of passages, so its parts (sentences, lines, members of a configuration) are
 the items. Equal parts, apart from names and numbers, are one shape. A shape's vector holds its own
-words and, as much again, the words of the parts it stands beside, so that wordings of one subject
-lie together even if they share no word. Bisecting k-means over the shapes of all documents gives the
-leaves. A leaf is labelled by its discriminative terms, as the labelled examples tell them, and then
-by the mixtures of leaves around it. A document has the subjects of the leaves that it mixes.
+words and, twice as much, the words of the parts it stands beside more often than chance would have
+it, so that wordings of one subject lie together even if they share no word, and parts that stand
+beside everything tell nothing. Bisecting k-means over the shapes of all documents gives the leaves.
+A leaf is labelled by its discriminative terms, as the labelled examples tell them, together with
+those of the mixture of leaves around it, and is then held against the labels of that mixture. A document has the subjects of the leaves that it mixes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ from tracewell.session import cut, ensure_checkpoint_dir
 #: Leaves of the clustering, passes per bisection, and dimensions that words are hashed into.
 LEAVES, PASSES, DIMENSIONS = 512, 5, 2048
 #: Parts on either side that count as the surroundings, their rarest words that are used, and the weight of the surroundings.
-NEAR, RAREST, SURROUNDINGS = 2, 3, 1.0
+NEAR, RAREST, SURROUNDINGS = 2, 3, 2.0
+#: Added to the times that two parts would stand together by chance, so that a single time tells little.
+PRIOR = 0.5
+#: Weight of what the terms of the leaves around a leaf tell; its own have 1.
+AROUND = 2.0
 #: A word tells a subject by its share of the examples with the word beyond this one.
 CHANCE = 0.3
 #: A leaf is labelled by its terms if these tell so much and the first subject has this share of what they tell.
@@ -81,14 +86,24 @@ def shapes_of(distinct_parts: DataFrame) -> DataFrame:
     return first.select("part_key", words.alias("words")).where(F.size("words") > 0).withColumn("shape", F.xxhash64(F.array_join("words", " ")))
 
 
-def surroundings(placed: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``n``: how often shape b stands within ``NEAR`` parts of shape a, both ways."""
+def surroundings(placed: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """``a``, ``b``, ``n``: by how much shape b stands within ``NEAR`` parts of shape a beyond chance, both ways.
+
+    The root of the count times the log of its ratio to the count expected of two shapes of these sizes;
+    pairs that are no commoner than expected are left out. If the whole corpus is repeated, the pairs keep
+    their proportions but for ``PRIOR``.
+    """
     order = Window.partitionBy("id").orderBy("at")
     ahead = placed.select(F.col("shape").alias("a"), *[F.lead("shape", k).over(order).alias(f"_{k}") for k in range(1, NEAR + 1)])
     near = ahead.select("a", F.explode(F.array(*[f"_{k}" for k in range(1, NEAR + 1)])).alias("b")).where("b is not null")
     one_way = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    return one_way.select(both.alias("p"), "n").select("p.a", "p.b", "n")
+    for side in ("a", "b"):
+        one_way = looked_up(one_way, sizes.select(F.col("shape").alias(side), F.col("n").alias(f"_{side}")), side)
+    # a part has NEAR parts on either side
+    chance = F.col("_a") * F.col("_b") * (2.0 * NEAR / total)
+    beyond = one_way.withColumn("n", F.sqrt("n") * F.log(F.col("n") / (chance + PRIOR))).where("n > 0")
+    return beyond.select(both.alias("p"), "n").select("p.a", "p.b", "n")
 
 
 def _vectors(terms: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -111,7 +126,7 @@ def _vectors(terms: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     spark = terms.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}"
-    rows.join(sizes, "shape").select("shape", F.log1p("n").alias("weight"), vector.alias("features")).write.parquet(path)
+    rows.join(sizes, "shape").select("shape", F.sqrt("n").alias("weight"), vector.alias("features")).write.parquet(path)
     return spark.read.schema(StructType([StructField("shape", LongType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])).parquet(path)
 
 
@@ -139,6 +154,21 @@ def term_labels(scores: list[tuple[int, str, float]]) -> dict[int, str]:
     return out
 
 
+def told_around(scores: list[tuple[int, str, float]], beside: list[tuple[int, int, float]]) -> list[tuple[int, str, float]]:
+    """What the terms of each leaf tell and, ``AROUND`` times, what those of the mixture of leaves around it tell."""
+    told: dict[int, dict[str, float]] = defaultdict(dict)
+    for leaf, subject, v in scores:
+        told[leaf][subject] = v
+    whole: dict[int, float] = defaultdict(float)
+    for leaf, _, n in beside:
+        whole[leaf] += n
+    both: dict[tuple[int, str], float] = defaultdict(float, {(leaf, subject): v for leaf, subject, v in scores})
+    for leaf, other, n in beside:
+        for subject, v in told.get(other, {}).items():
+            both[leaf, subject] += AROUND * v * n / whole[leaf]
+    return [(leaf, subject, v) for (leaf, subject), v in both.items()]
+
+
 def settled_labels(labels: dict[int, str], beside: list[tuple[int, int, float]]) -> dict[int, str]:
     """Labels after the rounds that hold each leaf against the leaves around it, from (leaf, other leaf, n)."""
     subjects = sorted(set(labels.values()))
@@ -197,7 +227,7 @@ def shape_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFrame
     t = words.join(df, "word").withColumn("place", F.row_number().over(rare)).withColumn("sq", F.col("idf") * F.col("idf"))
     t = t.withColumn("norm", F.sqrt(F.sum("sq").over(Window.partitionBy("shape")))).withColumn("norm_rare", F.sqrt(F.sum(F.when(F.col("place") <= RAREST, F.col("sq"))).over(Window.partitionBy("shape"))))
     terms = cut(t.select("shape", "word", "n", "place", F.try_divide("idf", "norm").alias("x"), F.try_divide("idf", "norm_rare").alias("x_rare")).fillna(0.0, ["x", "x_rare"]))
-    pairs = cut(surroundings(placed))
+    pairs = cut(surroundings(placed, sizes, total))
     vectors = _vectors(terms, pairs, sizes)
     model = BisectingKMeans(k=LEAVES, maxIter=PASSES, seed=3, weightCol="weight", minDivisibleClusterSize=4.0).fit(vectors)
     leaves = cut(model.transform(vectors).select("shape", F.col("prediction").alias("leaf")))
@@ -210,10 +240,11 @@ def shape_subjects(documents: DataFrame, examples: DataFrame) -> tuple[DataFrame
     heard = ex.select(F.xxhash64("text").alias("id"), "subject").join(k, "id").join(ex_parts.select("id", "part_key"), "id").join(table, "part_key")
     heard = heard.select("id", "subject", (1.0 / F.col("k")).alias("w"), F.explode("words").alias("word")).distinct()
     scores = excess.join(telling_words(heard), "word").groupBy("leaf", "subject").agg(F.sum(F.col("d") * F.col("tells")).alias("told"))
-    labels = term_labels([(r["leaf"], r["subject"], r["told"]) for r in scores.where("told > 0").collect()])
     of = lambda c: leaves.select(F.col("shape").alias(c), F.col("leaf").alias(f"leaf_{c}"))
     beside = pairs.join(of("a"), "a").join(of("b"), "b").groupBy("leaf_a", "leaf_b").agg(F.sum("n").alias("n")).toPandas()
-    labels = settled_labels(labels, list(beside.itertuples(index=False, name=None)))
+    beside = list(beside.itertuples(index=False, name=None))
+    own = [(r["leaf"], r["subject"], r["told"]) for r in scores.where("told > 0").collect()]
+    labels = settled_labels(term_labels(told_around(own, beside)), beside)
     named = spark.createDataFrame(sorted(labels.items()), "leaf int, subject string")
     return placed.select("id", "shape"), cut(leaves.join(F.broadcast(named), "leaf").select("shape", "subject"))
 
