@@ -263,6 +263,25 @@ def test_systematic_sample_against_a_loop(spark):
     assert got["a"] == 3 and got["e"] == 7
 
 
+def test_only_short_cells_stay_below_what_is_wanted(spark):
+    """Half rows are rounded up in every cell that has them; two targets of one cell count together."""
+    report = spark.createDataFrame([("a", "a", "a", 30, 0, 0.3, 15), ("b", "b", "b", 30, 2, 0.3, 15), ("c", "c", "c", 30, 7, 0.1, 15), ("c2", "c", "c", 30, 31, 0.1, 15), ("d", "d", "d", 2, 0, 0.2, 15), ("e", "e", "e", 0, 1, 0.0, 15)], "token_category string, step_type string, cell string, available long, min_rows long, target_share double, size long")
+    report = target_sample.cell_report(report)
+    rows = spark.createDataFrame([(i * 10 + k, c) for k, c in enumerate("abcd") for i in range(2 if c == "d" else 30)], "candidate_id long, cell string")
+    drawn = target_sample.draw_sample(rows, report)
+    assert drawn.count() == drawn.select("candidate_id").distinct().count()
+    for r in target_sample.sample_report(drawn, report).collect():
+        assert r["drawn"] >= min(r["available"], r["wanted"]) and r["short"] == (r["drawn"] < r["wanted"])
+    assert ids(target_sample.unmet_cells(drawn, report), "token_category") == [("c2",), ("d",), ("e",)]
+
+
+def test_unmet_cells_come_from_the_draw(spark, monkeypatch):
+    whole = spark.read.parquet(f"{DATA}/category_targets.parquet").where("min_rows > 0").count()
+    draw = target_sample.draw_sample
+    monkeypatch.setattr(target_sample, "draw_sample", lambda rows, report: draw(rows, report).limit(0))
+    assert queries.p4_found(spark, DATA).count() == whole
+
+
 # 5: splits
 def test_components(spark):
     random.seed(4)

@@ -70,9 +70,10 @@ def p3_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    """Target cells with too few candidates."""
+    """Target cells of which the sample drawn can't hold enough."""
     rows, targets = target_sample.candidate_cells(table(s, d, "candidate_records"), table(s, d, "category_targets"))
-    return target_sample.cell_report(targets).where("short").select("token_category", "step_type")
+    report = target_sample.cell_report(targets)
+    return target_sample.unmet_cells(target_sample.draw_sample(rows, report), report).select("token_category", "step_type")
 
 
 def p4_sample(s: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.labels import label_key
@@ -28,10 +28,13 @@ def candidate_cells(records: DataFrame, targets: DataFrame) -> tuple[DataFrame,
     return rows, t.join(counts, "cell")
 
 
+def _wanted() -> Column:
+    return F.greatest("min_rows", F.ceil(F.col("target_share") * F.col("size")).cast("long"))
+
+
 def cell_report(targets: DataFrame) -> DataFrame:
     """Per target cell: ``wanted`` = max(min_rows, ceil(share x s)), ``available``, ``short``."""
-    want = F.greatest("min_rows", F.ceil(F.col("target_share") * F.col("size")).cast("long"))
-    return targets.withColumn("wanted", want).withColumn("short", F.col("available") < F.col("wanted"))
+    return targets.withColumn("wanted", _wanted()).withColumn("short", F.col("available") < F.col("wanted"))
 
 
 #: Parts of one row in which inclusion probabilities are counted, so that all sums are whole numbers.
@@ -63,9 +66,13 @@ def draw_sample(rows: DataFrame, report: DataFrame, seed: int = 11) -> DataFrame
 
     Rows stand in order of cell and, within it, of a hash; every row of a cell has the same inclusion
     probability (:func:`expected_sizes`). One random start and the running sum of the probabilities, both in
-    whole units, select the rows at which the sum crosses a whole row. Cells below their minimum then get
-    their next rows in hash order, as far as there are any. The report has one row per target.
+    whole units, select the rows at which the sum crosses a whole row. Cells below what the report wants of
+    them (the minimum, or the share rounded up) then get their next rows in hash order, as far as there are
+    any, so only a cell with too few rows stays below. The report has one row per target; targets of one
+    cell count together.
     """
+    floors = report.withColumn("min_rows", _wanted())
+    report = floors.groupBy("cell").agg(F.max("available").alias("available"), F.max("min_rows").alias("min_rows"), F.sum("target_share").alias("target_share"), F.max("size").alias("size"))
     before = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = bounded(expected_sizes(report).withColumn("base", F.coalesce(F.sum("units").over(before), F.lit(0))))
     minimal = report.where("available > 0 and coalesce(target_share, 0) <= 0").select("cell", "available", "min_rows", F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("base"))
@@ -82,6 +89,11 @@ def draw_sample(rows: DataFrame, report: DataFrame, seed: int = 11) -> DataFrame
     return fixed.where(F.col("picked") | (F.col("_left_out") <= need)).select("candidate_id", "cell", "picked").withColumnRenamed("picked", "systematic")
 
 
+def unmet_cells(sample: DataFrame, report: DataFrame) -> DataFrame:
+    """The targets of which the sample holds fewer rows than wanted."""
+    return sample_report(sample, report).where("drawn < wanted")
+
+
 def sample_report(sample: DataFrame, report: DataFrame) -> DataFrame:
     """The cell report with the rows drawn and the share reached."""
     got = sample.groupBy("cell").agg(F.count("*").alias("drawn"))
